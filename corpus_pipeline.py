@@ -1,8 +1,59 @@
-"""From raw documents to training shards."""
+"""From raw documents to training shards: toxicity, near duplicates, contamination, mixture, shards.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, written as Parquet and read again, and returns the documents it
+keeps; the last returns each document's place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from lodestone.llm.scratch import Scratch
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id isn't in ``dropped``; those without an id stay."""
+    return docs.join(dropped.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontaminate.judged(decontaminate.scan(docs, benchmark)).where("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, mixing.mix(docs).where("not kept"))
+
+
+def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixture", mix_sources),
+    ("sharding", place),
+]
+
+#: A compression distance can't be had in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
