@@ -83,7 +83,9 @@ class Model:
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in found], np.int64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return curve(self.weights, (features(self, texts) - self.centre) / self.scale)
+        """0 without any window, since nothing speaks for the label then."""
+        found = features(self, texts)
+        return np.where(found[:, 2] > 0, curve(self.weights, (found - self.centre) / self.scale), 0.0)
 
 
 def curve(weights, x: np.ndarray) -> np.ndarray:
@@ -181,7 +183,7 @@ def _score(batches, model: Model | None):
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score. Null and empty texts have no windows and get the score of that;
+    """One row per input row: id, score. Null and empty texts have no windows and score 0;
     without a model all scores are 0. The model is a few dozen KB, whatever it was trained on, and is
     broadcast. Other columns are not read."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
