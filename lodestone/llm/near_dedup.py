@@ -7,8 +7,8 @@ candidates. A link of similarity 0.75 or more has no equal band with probability
 at the threshold, and far less above it.
 
 Sets are collapsed first where they are equal, so that copies cost nothing further. In each band's bucket,
-all members are compared with the bucket's smallest one: a star, not all pairs. Its links give preliminary
-components. Only then, buckets whose members lie in several components are looked at again: members
+all members are compared with its head, the member that shares most buckets with others, such as the original
+of edited copies: a star, not all pairs. Its links give preliminary components. Only then, buckets whose members lie in several components are looked at again: members
 outside the bucket's largest component are compared with all members of other components, if sizes and the
 collision-corrected Jaccard estimate of their registers allow a link. Every comparison that counts is an exact
 one on full sets, so no link between different components can be lost but by the banding itself.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import wordhash as wh
@@ -101,25 +101,32 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "shingles"])
 
 
-def estimate(a: str, b: str) -> Column:
-    """Collision-corrected Jaccard estimate from two sketches' bands, as struct(j, n): registers that agree,
-    less those expected to agree by chance, over registers in use by either."""
-    mask = (1 << LANE_BITS) - 1
-    lane = lambda x, i: f"(shiftright({x}, {LANE_BITS * i}) & {mask})"
-    same = " + ".join(f"if({lane('x.a', i)} = {lane('x.b', i)} and {lane('x.a', i)} != 0, 1, 0)" for i in range(LANES))
-    used = " + ".join(f"if(({lane('x.a', i)} | {lane('x.b', i)}) != 0, 1, 0)" for i in range(LANES))
-    counted = f"""aggregate(zip_with({a}.bands, {b}.bands, (p, q) -> named_struct('a', p, 'b', q)), named_struct('same', 0, 'used', 0),
-        (s, x) -> named_struct('same', s.same + {same}, 'used', s.used + {used}))"""
-    # chance agreements of two unrelated minima a register, by the sets' sizes
-    chance = f"(0.169919487159739 * pow(2, -{MANTISSA_BITS}) * 4.0 * {a}.n * {b}.n / pow({a}.n + {b}.n, 2))"
-    return F.expr(f"transform(array({counted}), c -> named_struct('j', c.same / c.used - {chance}, 'n', c.used))[0]")
-
-
-def likely(a: str, b: str) -> Column:
-    """Can the two sets be linked? By their sizes, and by the estimate less its error."""
-    e = estimate(a, b)
-    t = PERCENT / 100
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n)") & (e["j"] >= t - SIGMAS * F.sqrt(F.lit(t * (1 - t)) / e["n"]))
+def _likely(batches):
+    """Of pairs with both sketches, those that can be linked: by their sizes, and by the collision-corrected Jaccard
+    estimate less its error. Registers that agree, less those expected to agree by chance, over registers in use."""
+    t, mask = PERCENT / 100, (1 << LANE_BITS) - 1
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            na, nb = (np.asarray(part.column(c)).astype(np.float64) for c in ("na", "nb"))
+            x, y = (np.asarray(part.column(c).flatten()).reshape(-1, BANDS) for c in ("ba", "bb"))
+            same, used = np.zeros(len(na)), np.zeros(len(na))
+            for lane in range(LANES):
+                p, q = (x >> (LANE_BITS * lane)) & mask, (y >> (LANE_BITS * lane)) & mask
+                same += ((p == q) & (p != 0)).sum(axis=1)
+                used += ((p | q) != 0).sum(axis=1)
+            chance = 0.169919487159739 * 2.0**-MANTISSA_BITS * 4 * na * nb / (na + nb) ** 2
+            j = same / used - chance
+            keep = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (j >= t - SIGMAS * np.sqrt(t * (1 - t) / used))
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sketches allow a link."""
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb")
+    return met.mapInArrow(_likely, "a bigint, b bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -168,30 +175,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = sketches.where("id is not null and n > 0")
     distinct = scratch.save(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "distinct")
 
-    # round one: each member of a bucket against the bucket's smallest
-    band = distinct.select("id", F.posexplode("bands").alias("at", "band")).where("band != 0").select("id", F.xxhash64("at", "band").alias("key"))
-    heads = band.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    member = scratch.save(band.join(heads, "key"), "members")
-    with_n = distinct.select("id", "n", "bands")
-    pairs = member.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    p = pairs.join(with_n.select(F.col("id").alias("a"), F.struct("n", "bands").alias("x")), "a").join(with_n.select(F.col("id").alias("b"), F.struct("n", "bands").alias("y")), "b")
-    first = verified(source, scratch.save(p.where(likely("x", "y")).select("a", "b"), "pairs-1"), scratch, "round-1")
+    # round one: each member of a bucket against the bucket's head, the member that shares most buckets with others
+    band = distinct.select("id", "n", F.posexplode("bands").alias("at", "band")).where("band != 0").select("id", "n", F.xxhash64("at", "band").alias("key"))
+    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    member = scratch.save(band.join(shared, "key"), "members")
+    degree = member.groupBy("id").agg(F.sum("members").alias("degree"))
+    heads = member.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("head"))
+    pairs = member.join(heads, "key").where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    sketch = distinct.select("id", "n", "bands")
+    first = verified(source, scratch.save(likely(pairs, sketch), "pairs-1"), scratch, "round-1")
     found = components(first, scratch, "round-1")
 
     # round two: buckets whose members lie in several components
-    label = member.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    label = scratch.save(label, "labels")
+    label = scratch.save(member.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label")), "labels")
     sizes = label.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "major")
-    open_ = label.join(mixed, "key").join(with_n, "id").select("key", "id", "label", "major", F.struct("n", "bands").alias("z"))
-    open_ = scratch.save(open_, "open")
-    x = open_.where("label != major").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("z").alias("x"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "major", F.col("z").alias("y"))
+    open_ = scratch.save(label.join(mixed, "key"), "open")
+    x = open_.where("label != major").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    y = open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "major", F.col("n").alias("nb"))
     # of two members outside the largest component each is on both sides: one order is enough
     once = (F.col("lb") == F.col("major")) | (F.col("a") < F.col("b"))
-    met = x.join(y, "key").where((F.col("la") != F.col("lb")) & once & likely("x", "y"))
-    more = scratch.save(met.select("a", "b").distinct(), "pairs-2")
-    second = verified(source, more, scratch, "round-2")
+    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    met = x.join(y, "key").where((F.col("la") != F.col("lb")) & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = verified(source, scratch.save(likely(met, sketch), "pairs-2"), scratch, "round-2")
     final = found if not second.take(1) else components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second), scratch, "round-2")
 
     named = distinct.select("n", "d1", "d2", F.col("id").alias("rep")).join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
