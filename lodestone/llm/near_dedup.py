@@ -1,10 +1,10 @@
 """Near-duplicate detection with HyperMinHash sketches.
 
-A document's set is its distinct five-word shingles. Each set has 240 registers: a shingle's hash picks the
+A document's set is its distinct five-word shingles. Each set has 280 registers: a shingle's hash picks the
 register, and the smallest second hash in it is stored as its leading-zero count (5 bits) and the 7 bits after
 the first one. Five registers make a band, which is one 64-bit integer; sets with an equal band are
-candidates. A link of similarity 0.75 or more has no equal band with probability (1 - 0.75**5)**48 = 2e-6
-at the threshold, and far less above it.
+candidates. A link of similarity 0.75 shares no band with probability 3e-7 and fewer than two with probability
+5e-6, and far less above the threshold.
 
 Sets are collapsed first where they are equal, so that copies cost nothing further. In each band's bucket,
 all members are compared with its head, the member that shares most buckets with others, such as the original
@@ -25,7 +25,9 @@ from lodestone.llm import wordhash as wh
 from lodestone.llm.scratch import Scratch
 
 SHINGLE = 5
-BANDS, LANES = 48, 5
+BANDS, LANES = 56, 5
+#: Bands that members of different components must share to be compared, unless one has few shingles.
+SHARED, FEW = 2, 8
 REGISTERS = BANDS * LANES
 LZ_BITS, MANTISSA_BITS = 5, 7
 LANE_BITS = LZ_BITS + MANTISSA_BITS
@@ -183,7 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = member.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("head"))
     pairs = member.join(heads, "key").where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     sketch = distinct.select("id", "n", "bands")
+    scratch.release()
     first = verified(source, scratch.save(likely(pairs, sketch), "pairs-1"), scratch, "round-1")
+    scratch.release()
     found = components(first, scratch, "round-1")
 
     # round two: buckets whose members lie in several components
@@ -191,13 +195,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = label.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "major")
     open_ = scratch.save(label.join(mixed, "key"), "open")
+    scratch.drop("members")
+    scratch.release()
     x = open_.where("label != major").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
     y = open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "major", F.col("n").alias("nb"))
     # of two members outside the largest component each is on both sides: one order is enough
     once = (F.col("lb") == F.col("major")) | (F.col("a") < F.col("b"))
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    met = x.join(y, "key").where((F.col("la") != F.col("lb")) & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(source, scratch.save(likely(met, sketch), "pairs-2"), scratch, "round-2")
+    met = x.join(y, "key").where((F.col("la") != F.col("lb")) & once & near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.agg(F.count(F.lit(1)).alias("bands"), F.min(F.least("na", "nb")).alias("few")).where((F.col("bands") >= SHARED) | (F.col("few") <= FEW)).select("a", "b")
+    later = scratch.save(likely(met, sketch), "pairs-2")
+    scratch.drop("open", "labels", "round-1-sets")
+    scratch.release()
+    second = verified(source, later, scratch, "round-2")
     final = found if not second.take(1) else components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second), scratch, "round-2")
 
     named = distinct.select("n", "d1", "d2", F.col("id").alias("rep")).join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
