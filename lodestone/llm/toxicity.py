@@ -1,11 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, and one that holds the same base and then what
-only toxic text has. A window of five words is compressed with either; the bytes that the toxic dictionary
+only toxic text has. A window of one word is compressed with either; the bytes that the toxic dictionary
 saves are the window's distance. A document's windows are counted by distance, and a logistic curve over
 these counts, fitted to labelled documents, turns thresholds into a calibrated score.
 
-Toxic texts are mostly ordinary prose, so training is contrastive. In each round, windows that the toxic
+The compressor looks for no matches in the last bytes of its input and stores what doesn't shrink as it is,
+so a short window alone would cost the same with any dictionary. Each is therefore followed by a fixed trailer
+that ends both dictionaries and is in no text.
+
+Toxic texts are mostly ordinary prose, so training is contrastive, over windows of five words. In each round, windows that the toxic
 dictionary shortens most are taken, and each word is blamed whose removal loses the saving. Words that are
 blamed in several different windows and hardly occur in ordinary text make up the next round's dictionary,
 together with one trained on windows that hold none of them yet.
@@ -23,7 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 5
+from lodestone.llm.recall import Recall
+
+#: Words of a window that is scored, and of one in training.
+WINDOW, CONTEXT = 1, 5
+#: Bytes that are in no UTF-8 text; see above.
+TRAILER = bytes(range(128, 192))
+#: Distances that a worker remembers.
+REMEMBERED = 1 << 17
 BASE_BYTES, OWN_BYTES = 32768, 4096
 ROUNDS = 4
 #: Labelled documents of each class that training takes at most, the first by a hash of their ids.
@@ -32,12 +43,12 @@ SAMPLED_WINDOWS = 50_000
 STRIP = b".,!?;:|#%$&*\"'()"
 LEVELS = 8
 #: A blamed word needs so many different windows, and so many times as many toxic as ordinary documents.
-SUPPORT, CONTRAST = 4, 10
+SUPPORT, CONTRAST = 3, 10
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     words = (text or "").lower().split()
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
+    return [f" {' '.join(words[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(words), size)]
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
@@ -55,11 +66,10 @@ def compressor(content: bytes):
         window_log=16, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    if len(content) < 8:
-        return zstandard.ZstdCompressor(compression_params=params).compress
-    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressionDict(content + TRAILER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     made.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
+    compress = zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
+    return lambda window: compress(window + TRAILER)
 
 
 @dataclass
@@ -71,16 +81,20 @@ class Model:
     scale: list[float]
 
     def __post_init__(self):
-        self.pair = None
+        self.pair = self.known = None
 
     def __getstate__(self):
-        return self.__dict__ | {"pair": None}
+        return self.__dict__ | {"pair": None, "known": None}
 
     def distances(self, found: list[bytes]) -> np.ndarray:
         if self.pair is None:
             self.pair = compressor(self.base), compressor(self.base + self.own)
+            self.known = Recall(REMEMBERED)
         ordinary, toxic = self.pair
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in found], np.int64)
+        known = self.known
+        for w in known.missing(set(found)):
+            known.young[w] = len(ordinary(w)) - len(toxic(w))
+        return np.array([known.young[w] for w in found], np.int64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 without any window, since nothing speaks for the label then."""
@@ -107,7 +121,7 @@ def fit(toxic: list[str], ordinary: list[str], prior: float, seed: int = 7) -> M
     """``prior``: the share of toxic documents among labelled ones, which the score is calibrated to."""
     pick = Random(seed)
     some = lambda x: pick.sample(x, min(len(x), SAMPLED_WINDOWS))
-    twd, owd = [windows(t) for t in toxic], [windows(t) for t in ordinary]
+    twd, owd = [windows(t, CONTEXT) for t in toxic], [windows(t, CONTEXT) for t in ordinary]
     tw, ow = [w for x in twd for w in x], [w for x in owd for w in x]
     own_words = lambda x: {v.strip(STRIP) for y in x for v in y.split()}
     tdf, odf = Counter(w for x in twd for w in own_words(x)), Counter(w for x in owd for w in own_words(x))
