@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.recall import Recall
 
-#: Words of a window that is scored, and of one in training.
-WINDOW, CONTEXT = 1, 5
+#: Words of a window in training; scored windows are single words.
+CONTEXT = 5
 #: Bytes that are in no UTF-8 text; see above.
 TRAILER = bytes(range(128, 192))
 #: Distances that a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 BASE_BYTES, OWN_BYTES = 32768, 4096
 ROUNDS = 4
 #: Labelled documents of each class that training takes at most, the first by a hash of their ids.
@@ -46,7 +46,7 @@ LEVELS = 8
 SUPPORT, CONTRAST = 3, 10
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, size: int = CONTEXT) -> list[bytes]:
     words = (text or "").lower().split()
     return [f" {' '.join(words[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(words), size)]
 
@@ -86,15 +86,23 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"pair": None, "known": None}
 
-    def distances(self, found: list[bytes]) -> np.ndarray:
+    def distances(self, text: str | None) -> np.ndarray:
+        """Of each window of the text; a window is one word here, and words are remembered."""
         if self.pair is None:
             self.pair = compressor(self.base), compressor(self.base + self.own)
             self.known = Recall(REMEMBERED)
         ordinary, toxic = self.pair
-        known = self.known
-        for w in known.missing(set(found)):
-            known.young[w] = len(ordinary(w)) - len(toxic(w))
-        return np.array([known.young[w] for w in found], np.int64)
+        words = (text or "").lower().split()
+        young = self.known.young
+        try:
+            return np.array([young[w] for w in words], np.int64)
+        except KeyError:
+            pass
+        for word in self.known.missing(set(words)):
+            (window,) = windows(word, 1)
+            self.known.young[word] = len(ordinary(window)) - len(toxic(window))
+        young = self.known.young
+        return np.array([young[w] for w in words], np.int64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 without any window, since nothing speaks for the label then."""
@@ -110,9 +118,9 @@ def features(model: Model, texts: list[str | None]) -> np.ndarray:
     """By document: largest and mean distance, length, and windows at or above each level, as counts and shares."""
     out = np.zeros((len(texts), 3 + 2 * LEVELS))
     for i, text in enumerate(texts):
-        if found := windows(text):
-            d = model.distances(found)
-            counts = np.array([(d >= t).sum() for t in range(1, LEVELS + 1)])
+        d = model.distances(text)
+        if len(d):
+            counts = np.bincount(d.clip(0, LEVELS), minlength=LEVELS + 1)[::-1].cumsum()[::-1][1:]
             out[i] = [d.max(), np.clip(d, -2, 8).mean(), np.log1p(len(d)), *np.log1p(counts), *(10 * counts / len(d))]
     return out
 
@@ -121,7 +129,7 @@ def fit(toxic: list[str], ordinary: list[str], prior: float, seed: int = 7) -> M
     """``prior``: the share of toxic documents among labelled ones, which the score is calibrated to."""
     pick = Random(seed)
     some = lambda x: pick.sample(x, min(len(x), SAMPLED_WINDOWS))
-    twd, owd = [windows(t, CONTEXT) for t in toxic], [windows(t, CONTEXT) for t in ordinary]
+    twd, owd = [windows(t) for t in toxic], [windows(t) for t in ordinary]
     tw, ow = [w for x in twd for w in x], [w for x in owd for w in x]
     own_words = lambda x: {v.strip(STRIP) for y in x for v in y.split()}
     tdf, odf = Counter(w for x in twd for w in own_words(x)), Counter(w for x in owd for w in own_words(x))
