@@ -10,9 +10,12 @@ block of one that some rolling window of the other equals. All windows probe all
    each window learns the smallest document it starts in. Windows that overlap join to maximal repeats.
 3. removal: words that such windows cover are cut from all documents but the smallest of each window.
 
-A buffer of about 8 MB of text first settles what its own documents share: of equal hashes only the smallest
-document's is sent on. A passage that stands in every document is thus sent once per buffer, not once per
-document. Parts are as many as the text has 8 MB, so that a task's memory doesn't depend on the corpus.
+A buffer of about 8 MB of text first settles what its own documents share. Of equal hashes of 50 words only the
+smallest document's are sent on. Of equal hashes of 25 words that several documents have, all of which are marked
+there, two places are: the smallest document's that is a block, for larger documents elsewhere, and the largest
+document's, for smaller ones whose block it is. (The smallest document's, where it is no block, would be in no index
+and is below the largest.) A passage that stands in every document is thus sent once or twice per buffer, not once
+per document. Parts are as many as the text has 8 MB, so that a task's memory doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -110,11 +113,19 @@ class Buffer:
             first = np.full(run[-1] + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, run, doc)
             later = doc > first[run]
-            send[at[later]] = False
             if self.both:
                 shared = np.zeros(len(first), bool)
                 shared[run[later]] = True
-                later |= shared[run]
+                later = shared[run]
+                send[at[later]] = False
+                # these have their anchors; other buffers need the smallest block and the largest document
+                some = np.flatnonzero(later)
+                some = some[np.lexsort((doc[some], run[some]))]
+                send[at[some[np.diff(run[some], append=-1) != 0]]] = True
+                some = some[pos[at[some]] % BLOCK == 0]
+                send[at[some[np.diff(run[some], prepend=-1) != 0]]] = True
+            else:
+                send[at[later]] = False
             own = list(by_id(doc[later], pos[at[later]]))
             yield rows([i % self.parts for i, _ in own], [f for _, f in own], [i for i, _ in own])
         hashes, row, pos = hashes[send], row[send], pos[send]

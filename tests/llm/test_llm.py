@@ -111,6 +111,37 @@ def test_substrings(docs, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substrings_shared_in_part_within_a_buffer(spark):
+    """Each task has buffers of its own. A passage of 60 words stands on and off the block grid, whole and in part."""
+    pick = random.Random(11)
+    fresh = iter(range(10**9))
+    off = lambda n: [f"f{next(fresh)}" for _ in range(n)]
+    p = [[f"p{k}w{i}" for i in range(60)] for k in range(12)]
+    tasks = [[(1, off(3) + p[0][20:] + off(9)), (2, p[0])], [(3, off(7) + p[0] + off(5))]]
+    # the largest document of a buffer is all that a smaller one elsewhere meets
+    tasks += [[(11, off(3) + p[1][20:] + off(9)), (13, off(4) + p[1])], [(12, p[1])]]
+    random_docs = []
+    for i in range(100, 200):
+        w = off(pick.choice([0, 0, 25, pick.randint(1, 30)]))
+        for _ in range(2):
+            a = pick.choice([0, 0, pick.randint(0, 30)])
+            w += pick.choice(p[2:])[a : a + pick.choice([60, 60, 40, 52])] + off(pick.randint(0, 30))
+        random_docs.append((i, w))
+    pick.shuffle(random_docs)
+    tasks += [random_docs[k::12] for k in range(12)]
+    dealt = spark.sparkContext.parallelize(tasks, len(tasks)).flatMap(lambda task: [(i, " ".join(w)) for i, w in task])
+    frame = spark.createDataFrame(dealt, "doc_id bigint, text string")
+    docs = dict(sum(tasks, []))
+    first = {}
+    for i in sorted(docs):
+        for k in range(len(docs[i]) - 49):
+            first.setdefault(tuple(docs[i][k : k + 50]), i)
+    got = by_id(substring_dedup.remove_repeats(frame))
+    for i, w in docs.items():
+        gone = {q for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for q in range(k, k + 50)}
+        assert (i, got[i]["n_removed"]) == (i, len(gone))
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_decontamination(spark, docs, nothing, block):
     items = [("9", PASSAGE[:200]), ("10", "one two"), ("a", None), (None, "one"), ("b", "!!")]
