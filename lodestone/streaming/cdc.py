@@ -141,22 +141,38 @@ class Applier:
 
     def replay(self, batch_id: int, most: int = MOST_REPLAY, mend=None) -> int:
         """Dead letters, oldest first, as a new batch; ``mend`` may repair their payloads. What still fails is a dead
-        letter of that batch again."""
-        if (letters := self.dead()) is None:
+        letter of that batch again.
+
+        Letters are deleted once the batch is applied: the others are moved to a new folder first, and then the folders
+        that were read are deleted. A call that breaks off loses none; it may leave letters that were applied, which
+        change nothing when they are replayed. A batch that was done already replays nothing."""
+        p, fs = self._fs(self._path("dlq"))
+        if not fs.exists(p) or batch_id in self.done():
             return 0
-        chosen = letters.orderBy(F.col("msgId").cast("long")).limit(most)
+        own = f"batch={batch_id}"  # of an attempt that broke off; its letters are still where they were
+        folders = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and s.getPath().getName() != own]
+        if not folders:
+            return 0
+        fs.delete(self._fs(self._path("dlq", own))[0], True)
+        letters = self.spark.read.option("basePath", p.toString()).parquet(*[f.toString() for f in folders])
+        letters = letters.drop("batch").withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
         body = F.col("payload") if mend is None else mend(F.col("payload"))
-        rows = chosen.select(F.col("msgId").cast("long").alias(self.order), body.alias(self.body))
-        # the letters' folder is read before it is replaced
-        held = self.spark.createDataFrame(rows.collect(), rows.schema)
-        rest = letters.join(held.select(F.col(self.order).cast("string").alias("msgId")), "msgId", "left_anti").drop("batch")
-        kept = self.spark.createDataFrame(rest.limit(100_000).collect(), rest.schema)
-        p, fs = self._fs(self._path("dlq"))
-        fs.delete(p, True)
-        if not kept.isEmpty():
-            kept.write.parquet(self._path("dlq", "batch=-1"))
+        seq = F.col("msgId").cast("long")
+        chosen = letters.orderBy(seq, "__file", "__row").limit(most).select(seq.alias(self.order), body.alias(self.body), "__file", "__row")
+        # at most ``most`` letters; the others stay on the executors
+        held = self.spark.createDataFrame(chosen.collect(), chosen.schema)
         n = held.count()
-        self.apply(held, batch_id)
+        self.apply(held.drop("__file", "__row"), batch_id)
+        rest = letters.join(F.broadcast(held.select("__file", "__row")), ["__file", "__row"], "left_anti").drop("__file", "__row")
+        if not rest.isEmpty():
+            aside, _ = self._fs(self._path(f"dlq-rest-{batch_id}"))
+            rest.write.mode("overwrite").parquet(aside.toString())
+            if not fs.rename(aside, self._fs(self._path("dlq", f"batch={-2 - batch_id}"))[0]):
+                raise OSError(f"{aside.toString()} can't be moved to the dead letters")
+        for folder in folders:
+            fs.delete(folder, True)
+        if not [s for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]:
+            fs.delete(p, True)
         return n
 
 

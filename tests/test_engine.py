@@ -79,6 +79,24 @@ def test_applier(spark, tmp_path):
     assert sorted(tuple(r) for r in a.current().collect()) == [(1, "c"), (7, "mended")]
 
 
+def test_replay_keeps_all_other_letters(spark, tmp_path, monkeypatch):
+    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id")
+    a.apply(spark.range(100_250).select(F.col("id").alias("seq"), F.lit("{broken").alias("body")), 0)
+    a.apply(log(spark, "{twin", "{twin").withColumn("seq", F.lit(7)), 1)
+    mend = lambda c: F.lit(put("c", 7, "mended"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(a, "apply", lambda *_: (_ for _ in ()).throw(RuntimeError))
+        a.replay(2, mend=mend)
+    assert a.dead().count() == 100_252
+    # three letters share a number; one replay takes two of them
+    assert a.replay(2, most=9, mend=mend) == 9 and a.dead().count() == 100_243
+    assert a.replay(2, mend=mend) == 0 and a.dead().count() == 100_243
+    assert a.replay(3) == 100 and a.dead().count() == 100_243
+    assert sorted(int(r["msgId"]) for r in a.dead().collect()) == [7, *range(8, 100_250)]
+    assert [tuple(r) for r in a.current().collect()] == [(7, "mended")]
+    assert a.replay(4, most=10**6, mend=mend) == 100_243 and a.dead() is None
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [put("c", i % 5, f"v{i}") if i % 7 else put("d", i % 5, "") for i in range(40)]
     for k in range(3):
