@@ -6,7 +6,8 @@ is one window of its own length. Training texts are scanned once: rolling window
 the set, each hit is verified word for word, and the hit words are spans to remove.
 
 The set is broadcast in blocks of at most ``block_bytes`` of benchmark text. One block is the usual case;
-a larger benchmark costs one scan per block, and the blocks' spans are merged per document.
+a larger benchmark costs one scan per block, and the blocks' spans are merged per row: rows get numbers of
+their own, which are written once, before the scans.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import wordhash as wh
+from lodestone.llm.scratch import Scratch
 
 N_WORDS = 13
 #: Benchmark text per broadcast set; its windows take about 60 times as much on an executor.
 BLOCK_BYTES = 2 << 20
-SCAN = "id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
+SCAN = "id bigint, row bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 class WindowSet:
@@ -63,8 +65,7 @@ class WindowSet:
 
 def _scan(batches, known: WindowSet):
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for words in wh.slices(batch.column(1), wh.FOLD, wh.ALNUM):
+        for words in wh.slices(batch.column("text"), wh.FOLD, wh.ALNUM):
             spans: dict[int, list[list[int]]] = {}
             items: dict[int, set[str]] = {}
             for p, size, which in sorted(known.hits(words), key=lambda h: h[0]):
@@ -78,12 +79,13 @@ def _scan(batches, known: WindowSet):
                 items.setdefault(r, set()).update(which)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[words.first : words.first + words.rows], pa.int64()),
+                    batch.column("id").slice(words.first, words.rows),
+                    batch.column("row").slice(words.first, words.rows),
                     pa.array(words.counts, pa.int64()),
                     pa.array([[{"a": a, "b": b} for a, b in spans.get(r, ())] for r in range(words.rows)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                     pa.array([sorted(items.get(r, ())) for r in range(words.rows)], pa.list_(pa.string())),
                 ],
-                ["id", "n_words", "spans", "items"],
+                ["id", "row", "n_words", "spans", "items"],
             )
 
 
@@ -100,26 +102,34 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, n_words, spans (of hit words, disjoint, ascending), items (ids of the items
+    """One row per input row: id, n_words, spans (of hit words, disjoint, ascending), items (ids of the items
     whose windows occur, sorted as strings).
 
-    Null texts have no words. Rows with equal ids are taken for one document when the benchmark needs several
-    blocks, and stay apart otherwise. Items without id or words have no windows; several items may share a
-    window. An empty benchmark hits nothing. Other columns are not read.
+    Null texts have no words. Rows without an id, and rows with equal ids, stay apart, however many blocks the
+    benchmark needs. Items without id or words have no windows; several items may share a window. An empty
+    benchmark hits nothing. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if one := after is None:
+        source = source.select("id", F.lit(0).cast("long").alias("row"), "text")
+    else:
+        source = Scratch(docs.sparkSession, "decontaminate").save(source.select("id", F.monotonically_increasing_id().alias("row"), "text"), "rows")
     found = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    while block is not None:
         known = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n))
         part = source.mapInArrow(lambda batches, known=known: _scan(batches, known.value), SCAN)
-        found = (part, 1) if found is None else (found[0].unionByName(part), found[1] + 1)
-    if found[1] == 1:
-        return found[0]
+        found = part if found is None else found.unionByName(part)
+        block, after = after, next(blocks, None)
+    if one:
+        return found.drop("row")
     merged = F.expr("""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<a:int,b:int>>), (done, x) ->
         if(size(done) > 0 and x.a <= element_at(done, -1).b,
            concat(slice(done, 1, size(done) - 1), array(named_struct('a', element_at(done, -1).a, 'b', greatest(element_at(done, -1).b, x.b)))),
            concat(done, array(x))))""")
-    return found[0].groupBy("id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    return found.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), merged.alias("spans"), items).drop("row")
 
 
 def judged(scanned: DataFrame) -> DataFrame:

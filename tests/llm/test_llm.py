@@ -168,6 +168,15 @@ def test_decontamination(spark, docs, nothing, block):
     assert decontaminate.remove_documents(docs, bench).columns == docs.columns
 
 
+def test_decontamination_keeps_rows_apart(spark):
+    bench = spark.createDataFrame([(str(i), f"item{i} " + PASSAGE[:150]) for i in range(4)] + [("x", "one two")], "item_id string, text string")
+    texts = [(None, "one two"), (None, "three"), (None, None), (None, "one two"), (3, PASSAGE), (3, "clean words"), (3, "one two three four"), (4, PASSAGE)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    key = lambda r: (r["id"] or -1, r["n_words"], r["n_hit"], r["items"], r["contaminated"])
+    one, many = (sorted(map(key, decontaminate.judged(decontaminate.scan(docs, bench, block_bytes=b)).collect())) for b in (1 << 20, 160))
+    assert one == many and [x[:3] for x in one if x[0] == -1] == [(-1, 0, 0), (-1, 1, 0), (-1, 2, 2), (-1, 2, 2)] and len(many) == len(texts)
+
+
 PIECES = [" ", "  ", "\n", "a", "I'll", "'s", "é", "1", "٣", "😀", "\x1c", "<|endoftext|>", "<|startoftext|>", "日本", "Σ", ".", "...", "x.", "aaaa", "́", ""]
 
 
