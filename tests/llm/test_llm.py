@@ -177,6 +177,24 @@ def test_decontamination_keeps_rows_apart(spark):
     assert one == many and [x[:3] for x in one if x[0] == -1] == [(-1, 0, 0), (-1, 1, 0), (-1, 2, 2), (-1, 2, 2)] and len(many) == len(texts)
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("i", PASSAGE)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    other = prose(50)
+    made = [(None, BASE), (1, BASE), (None, LONG), (5, PASSAGE), (5, other), (None, PASSAGE), (6, LONG), (6, LONG), (7, ""), (7, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in made], "doc_id bigint, text string, lang string, source string").repartition(3)
+    left = lambda df: sorted((r["doc_id"] or -1, r["text"]) for r in df.collect())
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    assert left(near) == sorted([(-1, ""), (1, BASE), (5, PASSAGE), (5, other), (6, LONG), (7, "")])
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left(clean) == sorted((i or -1, t) for i, t in made if t != PASSAGE)
+    many = spark.createDataFrame([(None, "a", "en", "s")] * 300 + [(i, "b", "de", "t") for i in range(30)], docs.schema)
+    mixed = corpus_pipeline.mix_sources(spark, many, str(tmp_path)).groupBy("lang").count().collect()
+    assert dict(mixed)["de"] == 30 and 0 < dict(mixed)["en"] < 300
+
+
 PIECES = [" ", "  ", "\n", "a", "I'll", "'s", "é", "1", "٣", "😀", "\x1c", "<|endoftext|>", "<|startoftext|>", "日本", "Σ", ".", "...", "x.", "aaaa", "́", ""]
 
 
