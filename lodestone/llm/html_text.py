@@ -40,6 +40,8 @@ SKIP_WORDS = {
     "toolbar", "widget", "widgets",
 }
 PAGE_HEADERS = {"header"}
+#: Blocks that stay in the article even if all their text is a link, unless a list holds them.
+FIRM = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 #: Paths that a page votes for, paths that a host keeps, and the bound under which winners are broadcast.
 VOTES, WINNERS, BROADCAST_ROWS = 3, 3, 100_000
 
@@ -80,21 +82,25 @@ def skipped(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
     return any(w.lower() in SKIP_WORDS for w in WORD.findall(names))
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
-    """(path of containers, text, characters in links, in a paragraph or heading) of each block that may be text."""
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool, bool]]:
+    """(path of containers, text, characters in links, in a paragraph or heading, all links) of each block that may be
+    text. All links: an item or row without a letter or digit outside links; never a paragraph or heading of its own."""
     stack: list[tuple[str, str | None]] = []  # open elements; a step for containers
     skip_from: int | None = None
     text: list[str] = []
+    free: list[str] = []  # what of it isn't in links
     linked = links = 0
-    prose = False
+    prose = firm = False
     at, end = 0, len(page)
 
     def flush():
-        nonlocal text, linked
+        nonlocal text, free, linked
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
-        n, text, linked = linked, [], 0
+        n, outside, text, free, linked = linked, free, [], [], 0
         if whole:
-            yield tuple(s for _, s in stack if s), whole, min(n, len(whole)), prose
+            held = firm and not any(t == "li" for t, _ in stack)
+            menu = n > 0 and not held and not any(c.isalnum() for c in html.unescape("".join(outside)))
+            yield tuple(s for _, s in stack if s), whole, min(n, len(whole)), prose, menu
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -103,6 +109,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
             text.append(piece)
             if links:
                 linked += len(piece.strip())
+            else:
+                free.append(piece)
         if not m:
             break
         at = m.end()
@@ -110,6 +118,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
         if not tag:
             if m[0].startswith("<![CDATA[") and skip_from is None:
                 text.append(html.escape(m[0][9:].removesuffix("]]>")))
+                if not links:
+                    free.append(text[-1])
             continue
         if not m[1]:
             if tag in BLOCK or tag == "head":
@@ -150,10 +160,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
             if tag == "a":
                 links += 1
             prose = tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li") if tag in BLOCK else prose
+            firm = tag in FIRM if tag in BLOCK else firm
         else:
             if tag in BLOCK or tag == "head":
                 yield from flush()
-                prose = False
+                prose = firm = False
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -169,7 +180,7 @@ def path_scores(page: str | None) -> dict[str, float]:
     """Score of each container path: text of blocks in it that isn't links, paragraphs counting in full and other
     text by a half, less for each level that separates them. ``article`` and ``main`` count for more."""
     scores: dict[str, float] = {}
-    for path, text, linked, prose in blocks(page or ""):
+    for path, text, linked, prose, _ in blocks(page or ""):
         worth = (len(text) - 2 * linked) * (1.0 if prose else 0.5)
         for up in range(min(3, len(path))):
             inner = path[len(path) - 1 - up]
@@ -197,7 +208,7 @@ def extract(page: str | None, winners: list[str]) -> str:
         best = max(scores, key=lambda p: (scores[p], -len(p), p), default="")
         kept = [b for b in found if inside(b[0], best)] if best and scores[best] > 0 else found
     # a list or row of links is a menu, wherever it stands
-    return "\n\n".join(text for _, text, linked, prose in kept if prose and linked < len(text) or linked * 2 < len(text))
+    return "\n\n".join(text for _, text, _, _, menu in kept if not menu)
 
 
 def _votes(batches):

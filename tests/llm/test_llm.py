@@ -284,6 +284,14 @@ def test_html(spark, docs):
     assert html_text.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_keeps_linked_headings_and_paragraphs():
+    body = "<p>A paragraph that is long enough to be the main text of this page.</p>" * 3
+    linked = "<h1><a href=/t>Title &amp; more</a></h1>{}<p><a href=/s>A linked paragraph</a></p><div>Source: <a href=/l>a rather long linked name</a></div>"
+    menus = "<ul><li><a href=/a>One</a><li><p><a href=/b>Two</a></p></ul><div><a href=/c>Three</a> | <a href=/d>Four</a></div>"
+    got = html_text.extract(f"<body><article>{linked.format(body)}{menus}</article></body>", []).split("\n\n")
+    assert got == ["Title & more", *["A paragraph that is long enough to be the main text of this page."] * 3, "A linked paragraph", "Source: a rather long linked name"]
+
+
 def test_toxicity(spark, nothing):
     bad = ["grubnak", "vilescum", "trashling", "mudface", "snotrag"]
     pick = random.Random(9)
