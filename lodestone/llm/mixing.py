@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells of source, language and topic. Token weights of the cells are raked: in turn, each
-dimension's factors are set so that its marginal meets the target, until all three hold. A document is then
+dimension's factors are set so that its marginal meets the target, until all three hold to ``TOLERANCE``; where
+they can't, the error left is reported as a warning. A document is then
 kept with the probability that its cell's weight has changed by, at most 1, decided by a hash of its id; what
 a cell is short of beyond that stays as the kept documents' weight.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,11 @@ from lodestone.llm.scratch import Scratch
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets are the corpus's own marginals to this power, unless they are given: large classes weigh less.
 TEMPER = 0.7
+#: Cycles that are always taken; the SQL takes just these.
 CYCLES = 8
+#: Largest error of a class's share, relative to its target, at which raking ends; it also ends when ``STALL`` cycles
+#: together haven't taken a hundredth off the error, as when targets conflict.
+TOLERANCE, STALL = 1e-6, 10
 #: Cues of the topics that texts are told apart by, first match first.
 CUES = [
     ("legal", r"(?i)licen[cs]e|copyright|warrant"),
@@ -54,18 +61,39 @@ def tempered(table: DataFrame, dimension: str, temper: float) -> DataFrame:
     return own.crossJoin(F.broadcast(own.agg(F.sum("t").alias("all")))).select(dimension, (F.col("t") / F.col("all")).alias("target"))
 
 
-def rake(table: DataFrame, targets: dict[str, DataFrame], cycles: int, scratch: Scratch) -> DataFrame:
-    """``table`` of cells (source, lang, topic, w) with column fitted, as shares of 1. In each cycle each
-    dimension is met once; a value that has no target gets none, and no cell of weight 0 gains any."""
+def marginal_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest error of a class's share, relative to its target; 1 for a target class without weight. Targets of a
+    dimension count as shares of their sum. One row is collected."""
+    whole = None
+    for dimension in DIMENSIONS:
+        now = fitted.groupBy(dimension).agg(F.sum("fitted").alias("now"))
+        met = now.join(targets[dimension], dimension, "full").select(F.coalesce("now", F.lit(0.0)).alias("now"), F.coalesce("target", F.lit(0.0)).cast("double").alias("target"))
+        met = met.crossJoin(F.broadcast(met.agg(F.sum("now").alias("all"), F.sum("target").alias("goal"))))
+        want = F.when(F.col("goal") > 0, F.col("target") / F.col("goal")).otherwise(0.0)
+        got = F.when(F.col("all") > 0, F.col("now") / F.col("all")).otherwise(0.0)
+        # a class without a target has no weight
+        off = met.agg(F.max(F.when(want > 0, F.abs(got - want) / want).otherwise(got)).alias("off"))
+        whole = off if whole is None else whole.unionByName(off)
+    return whole.agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(table: DataFrame, targets: dict[str, DataFrame], cycles: int, scratch: Scratch) -> tuple[DataFrame, float]:
+    """``table`` of cells (source, lang, topic, w) with column fitted, as shares of 1, and the error that is left. In
+    each cycle each dimension is met once; a value that has no target gets none, and no cell of weight 0 gains any.
+    At least ``cycles`` are taken, and more until the error is below TOLERANCE or falls no more."""
     fitted = scratch.save(table.withColumn("fitted", F.col("w").cast("double")), "fit-0")
-    for cycle in range(1, cycles + 1):
+    cycle, errors = 0, []
+    while cycle < cycles or (errors and errors[-1] > TOLERANCE and not (len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL])):
+        cycle += 1
         for dimension in DIMENSIONS:
             now = fitted.groupBy(dimension).agg(F.sum("fitted").alias("now"))
             factor = now.join(targets[dimension], dimension).select(dimension, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))
             fitted = fitted.join(factor, dimension, "left").select(*DIMENSIONS, "w", (F.col("fitted") * F.coalesce("factor", F.lit(0.0))).alias("fitted"))
         fitted = scratch.save(fitted, f"fit-{cycle}")
         scratch.drop(f"fit-{cycle - 1}")
-    return fitted
+        if cycle >= cycles:
+            errors.append(marginal_error(fitted, targets))
+    return fitted, errors[-1] if errors else marginal_error(fitted, targets)
 
 
 def mix(
@@ -79,13 +107,16 @@ def mix(
     is ratio / probability, what a kept document's tokens count for. Null sources, languages and topics are
     the class unknown; null text is empty and has one token, as has every empty one. Rows with equal ids
     are kept or dropped alike in a cell; a null id is dropped unless its probability is 1. Other columns are
-    not read. The cells are aggregated before anything is shuffled, and only they are iterated over.
+    not read. Raking takes ``cycles`` cycles at least, and warns of the error where the targets can't be met.
+    The cells are aggregated before anything is shuffled, and only they are iterated over.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(cells(docs, id_col, text_col, source_col, lang_col, topic), "rows")
     table = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("w")), "cells")
     goals = {d: scratch.save((targets or {}).get(d, tempered(table, d, temper)).select(F.col(d), F.col("target")), f"target-{d}") for d in DIMENSIONS}
-    fitted = rake(table, goals, cycles, scratch)
+    fitted, error = rake(table, goals, cycles, scratch)
+    if error > TOLERANCE:
+        warnings.warn(f"the mixture's targets aren't met: a class's share is off by {error:.2g} of its target", stacklevel=2)
     total = fitted.agg(F.sum("w").alias("all"), F.sum("fitted").alias("fit"))
     ratio = fitted.crossJoin(F.broadcast(total)).select(*DIMENSIONS, F.round(F.when(F.col("fit") > 0, F.col("fitted") / F.col("fit") / (F.col("w") / F.col("all"))).otherwise(0.0), 9).alias("ratio"))
     probability = F.least(F.lit(1.0), F.col("ratio"))

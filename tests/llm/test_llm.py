@@ -270,6 +270,22 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_meets_sparse_targets_or_tells(spark, recwarn):
+    cells = [("a", "x", 900), ("a", "y", 200), ("b", "y", 500), ("b", "z", 200), ("c", "z", 700), ("c", "x", 600)]
+    docs = spark.createDataFrame([(i, "w" * 4 * n, s, c) for i, (s, c, n) in enumerate(cells)], "doc_id bigint, text string, source string, lang string")
+    share = lambda got, d: {r[d]: r["w"] for r in got.groupBy(d).agg(F.sum(F.col("tokens") * F.col("ratio")).alias("w")).collect()}
+    aims = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.45, "y": 0.3, "z": 0.25}}
+    frames = lambda aims: {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in aims.items()}
+    got = mixing.mix(docs, targets=frames(aims))
+    for d, want in aims.items():
+        now = share(got, d)
+        assert {k: w / sum(now.values()) for k, w in now.items()} == pytest.approx(want, rel=1e-5)
+    assert not [w for w in recwarn if "mixture" in str(w.message)]
+    lone = docs.where("source = 'a' or lang = 'z' and source = 'c'")
+    with pytest.warns(UserWarning, match="aren't met"):
+        mixing.mix(lone, targets=frames({"source": {"a": 0.5, "c": 0.5}, "lang": {"x": 0.2, "y": 0.2, "z": 0.6}}))
+
+
 PAGE = """<html><head><title>t</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=a>A</a></ul></nav><div id="main{n}"><div class="post-{n} body"><h1>Head &amp; line</h1>
 <p>First  paragraph, <b>long</b> enough to count as text.<p>Second&nbsp;one<br>after a break.<div class="advert">Buy</div><ul><li>one<li>two</ul><div class="comments"><p>Reader says a lot of things here.</p></div></div></div>
 <div class="cookie-notice"><p>We use cookies.</p></div><footer><p>(c)</p></footer><script>var x = "<p>no</p>";</script></body></html>"""
