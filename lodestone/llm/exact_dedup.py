@@ -4,6 +4,8 @@ Every partition first reduces its rows to a run of distinct digests with their s
 count. The runs then meet in binomial rounds: in each, ``2 ** fused`` neighbouring runs are merged by
 digest, and each digest keeps one verified identifier. An exchange thus gets at most one row per digest
 and run, so that a text with any number of copies costs no task more than ``2 ** fused`` rows a round.
+Runs are not sorted: a round is a hash aggregate on digest and run, dealt by both, where sorted runs dealt by run
+would end as a single run in a single task.
 """
 
 from __future__ import annotations
