@@ -29,10 +29,10 @@ SCAN = "id bigint, row bigint, n_words bigint, spans array<struct<a:int,b:int>>,
 
 
 class WindowSet:
-    """Windows of some benchmark items: by length, the sorted hashes; by hash, the words and the items."""
+    """Windows of some benchmark items: by length, the sorted hashes; by hash, the items of each text that has it."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        found: dict[int, dict[int, tuple[bytes, set[str]]]] = {}
+        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
         texts = pa.array([t for _, t in items], pa.string())
         for part in wh.slices(texts, wh.FOLD, wh.ALNUM):
             hashes = part.hashes()
@@ -42,7 +42,7 @@ class WindowSet:
                     continue
                 size = min(n, b - a)
                 for k, h in enumerate(wh.grams(hashes[a:b], size).tolist()):
-                    found.setdefault(size, {}).setdefault(h, (part.text(a + k, a + k + size), set()))[1].add(items[part.first + r][0])
+                    found.setdefault(size, {}).setdefault(h, {}).setdefault(part.text(a + k, a + k + size), set()).add(items[part.first + r][0])
         self.windows = found
         self.sorted = {size: np.array(sorted(w), np.uint64) for size, w in found.items()}
         # a bit per leading 16 bits of a hash: most lookups end there
@@ -58,8 +58,8 @@ class WindowSet:
             at = at[known[np.minimum(near, len(known) - 1)] == rolling[at]]
             at = at[words.row[at] == words.row[at + size - 1]]
             for p in at.tolist():
-                text, items = self.windows[size][int(rolling[p])]
-                if words.text(p, p + size) == text:
+                items = self.windows[size][int(rolling[p])].get(words.text(p, p + size))
+                if items:
                     yield p, size, items
 
 
