@@ -7,7 +7,9 @@ block of one that some rolling window of the other equals. All windows probe all
 1. anchors: rolling 25-word hashes are dealt by hash to parts. In a part, those at block starts are the index,
    and all others probe it. Hits mark a place in either document.
 2. extension: around hits, and only there, the hashes of the 50-word windows are dealt in the same way, and
-   each window learns the smallest document it starts in. Windows that overlap join to maximal repeats.
+   each window learns the smallest document it starts in. Windows that overlap join to maximal repeats. Here
+   windows are equal if two independent hashes, of 128 bits together, are, so that no chance match is to be
+   expected at any size; anchors are only places to look at.
 3. removal: words that such windows cover are cut from all documents but the smallest of each window.
 
 A buffer of about 8 MB of text first settles what its own documents share. Of equal hashes of 50 words only the
@@ -15,7 +17,9 @@ smallest document's are sent on. Of equal hashes of 25 words that several docume
 there, two places are: the smallest document's that is a block, for larger documents elsewhere, and the largest
 document's, for smaller ones whose block it is. (The smallest document's, where it is no block, would be in no index
 and is below the largest.) A passage that stands in every document is thus sent once or twice per buffer, not once
-per document. Parts are as many as the text has 8 MB, so that a task's memory doesn't depend on the corpus.
+per document. Parts are as many as the text has 8 MB, so that a task's memory doesn't depend on the corpus. A buffer
+deals to ``FAN`` ranges of hashes at most; of more parts, each range is dealt once more, so that what a part gets
+from a buffer stays large.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ WINDOW = 50
 BLOCK = WINDOW // 2
 BUFFER_BYTES = 8 << 20
 LEAST_PARTS = 64
+#: Ranges of hashes that buffers deal to at once.
+FAN = 4096
+#: Of the two hashes that tell windows apart.
+SEEDS = (0, 0x5851F42D4C957F2D)
 DEALT = "part int, found binary, id bigint"
 
 
@@ -48,24 +56,46 @@ def unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(raw[: n * width].reshape(width, n).T).view(f"<u{width}").ravel()
 
 
-def pack(keys: np.ndarray, width: int, row: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> bytes:
+def pack(keys: list[np.ndarray], widths: tuple[int, ...], row: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> bytes:
     """Keys with the rows and places they come from, in that order; ``ids`` of rows go along."""
     used, row = np.unique(row, return_inverse=True)
-    head = np.array([len(keys), len(used)], "<u4").tobytes()
+    head = np.array([len(row), len(used)], "<u4").tobytes()
     own = ids[used].astype(np.int64)
-    return b"".join([head, planes(keys, width), planes(np.diff(row, prepend=0), 4), planes(pos, 4), planes(np.diff(own, prepend=0).view(np.uint64), 8)])
+    return b"".join([head, *map(planes, keys, widths), planes(np.diff(row, prepend=0), 4), planes(pos, 4), planes(np.diff(own, prepend=0).view(np.uint64), 8)])
 
 
-def unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(blob: bytes, widths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys, ids and places."""
     n, m = np.frombuffer(blob, "<u4", 2).tolist()
     raw = np.frombuffer(blob, np.uint8, offset=8)
-    keys, raw = unplanes(raw, n, width), raw[n * width :]
+    keys = []
+    for width in widths:
+        keys.append(unplanes(raw, n, width))
+        raw = raw[n * width :]
     row, raw = np.cumsum(unplanes(raw, n, 4).astype(np.int64)), raw[4 * n :]
     pos, raw = unplanes(raw, n, 4), raw[4 * n :]
     return keys, np.cumsum(unplanes(raw, m, 8).view(np.int64))[row], pos
 
 
+def unpacked(blobs: list[bytes], widths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of several blobs, one after another."""
+    keys, ids, pos = zip(*(unpack(b, widths) for b in blobs))
+    return [np.concatenate(k) for k in zip(*keys)], np.concatenate(ids), np.concatenate(pos)
+
+
+def groups(keys: list[np.ndarray]) -> np.ndarray:
+    """Numbers from 0 on, equal where all keys are."""
+    if len(keys) == 1:
+        return np.unique(keys[0], return_inverse=True)[1]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), np.int64)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def by_id(ids: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Places of each id, packed."""
     order = np.lexsort((pos, ids))
@@ -80,14 +110,28 @@ def rows(parts: list, found: list, ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(found, pa.binary()), pa.array(ids, pa.int64())], ["part", "found", "id"])
 
 
+def deal(keys: list[np.ndarray], widths: tuple[int, ...], row: np.ndarray, pos: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Keys by the range that the first one's upper half falls in."""
+    part = ((keys[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    out = list(zip(part[order[edges]].tolist(), np.split(order, edges[1:]))) if len(order) else []
+    for a in range(0, len(out), 32):
+        some = out[a : a + 32]
+        yield rows([p for p, _ in some], [pack([k[o] for k in keys], widths, row[o], pos[o], ids) for _, o in some], [None] * len(some))
+
+
 class Buffer:
     """Hashes of some documents' windows. ``flush`` settles what they share and deals the rest to parts."""
 
-    def __init__(self, parts: int, width: int, both: bool):
-        self.parts, self.width, self.both = parts, width, both
+    def __init__(self, parts: int, widths: tuple[int, ...], both: bool):
+        self.parts, self.widths, self.both = parts, widths, both
+        self.clear()
+
+    def clear(self) -> None:
         self.hashes, self.row, self.pos, self.ids, self.size = [], [], [], [], 0
 
-    def add(self, hashes: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, size: int) -> None:
+    def add(self, hashes: list[np.ndarray], row: np.ndarray, pos: np.ndarray, ids: np.ndarray, size: int) -> None:
         self.hashes.append(hashes)
         self.row.append(row + sum(map(len, self.ids)))
         self.pos.append(pos)
@@ -97,20 +141,17 @@ class Buffer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.ids:
             return
-        hashes, row, pos, ids = map(np.concatenate, (self.hashes, self.row, self.pos, self.ids))
-        self.hashes, self.row, self.pos, self.ids, self.size = [], [], [], [], 0
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order[1:]] == hashes[order[:-1]]
-        send = np.ones(len(hashes), bool)
-        # hashes that occur more than once here: a run of equal ones in the order
-        twin = np.zeros(len(hashes), bool)
-        twin[1:] |= same
-        twin[:-1] |= same
-        at = order[twin]
+        row, pos, ids = map(np.concatenate, (self.row, self.pos, self.ids))
+        hashes = [np.concatenate(h) for h in zip(*self.hashes)]
+        self.clear()
+        send = np.ones(len(row), bool)
+        # hashes that occur more than once here
+        run = groups(hashes)
+        times = np.bincount(run)
+        at = np.flatnonzero(times[run] > 1)
         if len(at):
-            doc = ids[row[at]]
-            run = np.concatenate([[0], np.cumsum(hashes[at[1:]] != hashes[at[:-1]])])
-            first = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+            doc, run = ids[row[at]], run[at]
+            first = np.full(len(times), np.iinfo(np.int64).max)
             np.minimum.at(first, run, doc)
             later = doc > first[run]
             if self.both:
@@ -128,36 +169,30 @@ class Buffer:
                 send[at[later]] = False
             own = list(by_id(doc[later], pos[at[later]]))
             yield rows([i % self.parts for i, _ in own], [f for _, f in own], [i for i, _ in own])
-        hashes, row, pos = hashes[send], row[send], pos[send]
-        part = ((hashes >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
-        out = [(p, order[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-        for a in range(0, len(out), 32):
-            some = out[a : a + 32]
-            yield rows([p for p, _ in some], [pack(hashes[o], self.width, row[o], pos[o], ids) for _, o in some], [None] * len(some))
+        yield from deal([h[send] for h in hashes], self.widths, row[send], pos[send], ids, self.parts)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("id")).astype(np.int64)
 
 
-def _anchors(batches, parts: int):
-    buffer = Buffer(parts, 4, both=True)
+def _anchors(batches, parts: int, widths: tuple[int, ...]):
+    buffer = Buffer(parts, widths, both=True)
     for batch in batches:
         ids = _ids(batch)
         for words in wh.slices(batch.column("text"), wh.KEEP, wh.SPACED):
             hashes = wh.grams(words.hashes(), BLOCK)
             at = np.flatnonzero(wh.within(words, BLOCK))
             row = words.row[at]
-            buffer.add(hashes[at], row, at - words.begins[row], ids[words.first : words.first + words.rows], len(words.data))
+            buffer.add([hashes[at]], row, at - words.begins[row], ids[words.first : words.first + words.rows], len(words.data))
             if buffer.size >= BUFFER_BYTES:
                 yield from buffer.flush()
     yield from buffer.flush()
 
 
-def _probe(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _probe(keys: list[np.ndarray], ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Windows that are blocks of a smaller document, and blocks that are windows of a larger one."""
+    (keys,) = keys
     block = pos % BLOCK == 0
     index, which = np.unique(keys[block], return_inverse=True)
     if not len(index):
@@ -172,12 +207,13 @@ def _probe(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return hit[(ids[hit] > least[at]) | (block[hit] & (ids[hit] < most[at]))]
 
 
-def _windows(batches, parts: int):
-    buffer = Buffer(parts, 8, both=False)
+def _windows(batches, parts: int, widths: tuple[int, ...]):
+    buffer = Buffer(parts, widths, both=False)
     for batch in batches:
         ids, found = _ids(batch), batch.column("found")
         for words in wh.slices(batch.column("text"), wh.KEEP, wh.SPACED):
-            hashes = wh.grams(words.hashes(), WINDOW)
+            known = words.hashes()
+            hashes = [wh.grams(known, WINDOW, seed) for seed in SEEDS]
             whole = wh.within(words, WINDOW)
             near = np.zeros(len(words.row) + 1, np.int64)
             for r in range(words.rows):
@@ -188,35 +224,69 @@ def _windows(batches, parts: int):
                 np.add.at(near, begin + hits + 1, -1)
             at = np.flatnonzero(whole & (np.cumsum(near)[: len(whole)] > 0))
             row = words.row[at]
-            buffer.add(hashes[at], row, at - words.begins[row], ids[words.first : words.first + words.rows], len(words.data))
+            buffer.add([h[at] for h in hashes], row, at - words.begins[row], ids[words.first : words.first + words.rows], len(words.data))
             if buffer.size >= BUFFER_BYTES:
                 yield from buffer.flush()
     yield from buffer.flush()
 
 
-def _extend(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _extend(keys: list[np.ndarray], ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Windows that start in a smaller document too."""
-    index, which = np.unique(keys, return_inverse=True)
-    least = np.full(len(index), np.iinfo(np.int64).max)
+    which = groups(keys)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     return np.flatnonzero(ids > least[which])
 
 
-def settled(group: pa.Table, width: int, rule) -> pa.Table:
+def _settled(group: pa.Table, widths: tuple[int, ...], rule) -> pa.Table:
     """What buffers settled themselves goes through; the rest is unpacked for ``rule``, which picks what holds."""
     sent = pc.is_null(group.column("id"))
     out = [group.filter(pc.invert(sent)).select(["found", "id"])]
     if blobs := group.filter(sent).column("found").to_pylist():
-        keys, ids, pos = (np.concatenate(x) for x in zip(*(unpack(b, width) for b in blobs)))
+        keys, ids, pos = unpacked(blobs, widths)
         keep = rule(keys, ids, pos)
         found = list(by_id(ids[keep], pos[keep]))
         out.append(pa.table({"found": pa.array([f for _, f in found], pa.binary()), "id": pa.array([i for i, _ in found], pa.int64())}))
     return pa.concat_tables(out)
 
 
-def settle(scanned: DataFrame, rule) -> DataFrame:
-    """(id, list of packed places) of all that holds."""
-    return scanned.groupBy("part").applyInArrow(rule, "found binary, id bigint").groupBy("id").agg(F.collect_list("found").alias("found"))
+def _again(batches, parts: int, whole: tuple[int, ...], widths: tuple[int, ...]):
+    """Deals the blobs of ranges, which come one range after another, to the parts of each."""
+    blobs: list[bytes] = []
+
+    def flush():
+        if blobs:
+            keys, ids, pos = unpacked(blobs, whole)
+            own, row = np.unique(ids, return_inverse=True)
+            order = np.argsort(row, kind="stable")
+            yield from deal([k[order] for k in keys], widths, row[order], pos[order], own, parts)
+            blobs.clear()
+
+    at, size = None, 0
+    for batch in batches:
+        sent = pc.is_null(batch.column("id"))
+        yield batch.filter(pc.invert(sent))
+        some = batch.filter(sent)
+        for part, found in zip(some.column("part").to_pylist(), some.column("found").to_pylist()):
+            if part != at or size > BUFFER_BYTES:
+                yield from flush()
+                at, size = part, 0
+            blobs.append(found)
+            size += len(found)
+    yield from flush()
+
+
+def settle(rows: DataFrame, scan, parts: int, widths: tuple[int, ...], rule) -> DataFrame:
+    """(id, list of packed places) of all windows of ``rows`` that ``rule`` picks; ``scan`` fills buffers."""
+    ranges, each = parts, 1
+    if parts > FAN:
+        ranges, each = FAN, -(-parts // FAN)
+    whole = (8,) * len(widths) if each > 1 else widths
+    dealt = rows.mapInArrow(lambda b: scan(b, ranges, whole), DEALT)
+    if each > 1:
+        dealt = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _again(b, ranges * each, whole, widths), DEALT)
+    picked = dealt.groupBy("part").applyInArrow(lambda g: _settled(g, widths, rule), "found binary, id bigint")
+    return picked.groupBy("id").agg(F.collect_list("found").alias("found"))
 
 
 def _cut(batches):
@@ -260,10 +330,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // BUFFER_BYTES))
     valid = source.where("id is not null")
-    anchors = scratch.save(settle(valid.mapInArrow(lambda b: _anchors(b, parts), DEALT), lambda g: settled(g, 4, _probe)), "anchors")
+    anchors = scratch.save(settle(valid, _anchors, parts, (4,), _probe), "anchors")
     scratch.release()
     near = valid.join(anchors, "id").select("id", "text", "found")
-    repeats = scratch.save(settle(near.mapInArrow(lambda b: _windows(b, parts), DEALT), lambda g: settled(g, 8, _extend)), "repeats")
+    repeats = scratch.save(settle(near, _windows, parts, (8, 8), _extend), "repeats")
     scratch.drop("anchors")
     scratch.release()
     result = "id bigint, n_words bigint, n_removed bigint, removed array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept_text string"
