@@ -2,7 +2,8 @@
 
 Documents are dealt by ranges of their ids, so that every file holds one range in ascending order, encoded,
 and written with a row index entry for each ``stride`` rows and a Bloom filter on ``doc_id``. Readers prune
-files, stripes and strides by these; stripes are read in parallel.
+files, stripes and strides by these; stripes are read in parallel. A row also has its place in its file, which
+run-length encoding stores as one run. Rows that share an id, or have none, are split among files like any others.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from lodestone.llm.pieces import ragged, split
 from lodestone.llm.recall import Recall
 
 #: Distinct pieces whose ids a generation of a Python worker's memory holds.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: A special string of the vocabulary, which stands between pieces that are encoded in one call.
 BETWEEN = "<|startoftext|>"
 END_ID = 1
-PART_BYTES = 32 << 20
+#: Text of a file, each row counting for ROW_BYTES besides.
+PART_BYTES, ROW_BYTES = 32 << 20, 64
+#: Files, and then groups of files and so on, whose sums are added up in one task; three levels reach 2**30 files.
+FILES_BITS = 10
 
 
 class Encoder:
@@ -91,29 +95,36 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+FILE = "doc_id bigint, place int, ids array<int>"
+
+
 def _encode(batches, path: str, end_id: int):
-    model = encoder(path)
+    model, place = encoder(path), 0
     for batch in batches:
         for a, texts in batches_of(batch.column(1).to_pylist()):
             ids, counts = model.encode(texts)
             ends = np.cumsum(counts)
             values = np.insert(ids.astype(np.int32), ends, end_id)
             offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+            places = np.arange(place, place + len(texts), dtype=np.int32)
+            place += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(places), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "place", "ids"])
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, stride: int = 1000) -> None:
-    """Writes (doc_id, ids) in ascending doc_id order; file names ascend with the ids.
+    """Writes (doc_id, place, ids) in ascending doc_id order; file names ascend with the ids, places within a file.
 
     Null text counts as empty: such a document has the end id alone. Rows with equal ids follow one another,
     null ids come first. An empty table gives files without rows. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id differ in their number only
+    numbered = source.withColumn("number", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(parts, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "text")
     (
-        ordered.mapInArrow(lambda batches: _encode(batches, tokenizer, end_id), "doc_id bigint, ids array<int>")
+        ordered.mapInArrow(lambda batches: _encode(batches, tokenizer, end_id), FILE)
         .write.mode("overwrite")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -126,37 +137,40 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
 def read_orc(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
     """The files' rows; with ``ids`` those documents only, by pushed-down filters."""
-    found = spark.read.schema("doc_id bigint, ids array<int>").orc(path)
+    found = spark.read.schema(FILE).orc(path)
     return found if ids is None else found.where(F.col("doc_id").isin(list(ids)))
 
 
 def _digest(batches):
     for batch in batches:
-        column = batch.column(1)
+        column = batch.column("ids")
         offsets = np.asarray(column.offsets)
         values = np.asarray(column.values.fill_null(0)).astype("<u4")
         sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
+        own = [batch.column(c) for c in ("doc_id", "place", "file")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "place", "file", "n_tokens", "ids_crc32"])
 
 
 def digest_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
-    ``start`` counts the ids of all documents before: sums within ranges of documents, and before them the
-    sums of the earlier ranges, so that no task sees more than a range of documents or the list of ranges.
+    ``start`` counts the ids of all documents before: sums within files, and before them the sums of the earlier
+    files of a group, of the earlier groups, and so on, so that no task sees more than a file or 1024 sums.
     """
-    rows = read_orc(spark, path).mapInArrow(_digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = rows.withColumn("range", F.shiftright(F.coalesce("doc_id", F.lit(-1)), 12))
-    sums = rows.groupBy("range").agg(F.sum("n_tokens").alias("n"))
-    # a second level keeps the windows over the sums short: 4096 ranges each
-    sums = sums.withColumn("span", F.shiftright("range", 12))
-    spans = sums.groupBy("span").agg(F.sum("n").alias("all"))
-    spans = spans.withColumn("before_span", F.sum("all").over(Window.orderBy("span")) - F.col("all")).drop("all")
-    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("span").orderBy("range")) - F.col("n"))
-    sums = sums.join(spans, "span").select("range", (F.col("before") + F.col("before_span")).alias("before"))
-    order = Window.partitionBy("range").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = read_orc(spark, path).select("doc_id", "place", number.alias("file"), "ids")
+    rows = rows.mapInArrow(_digest, "doc_id bigint, place int, file bigint, n_tokens bigint, ids_crc32 bigint")
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = sums.select("file", F.lit(0).cast("long").alias("before"))
+    for level in range(3):
+        # of each unit, the ids in earlier units of its group
+        group = F.shiftright("unit", FILES_BITS)
+        units = sums.groupBy(F.shiftright("file", level * FILES_BITS).alias("unit")).agg(F.sum("n").alias("n")).withColumn("group", group)
+        units = units.select("unit", (F.sum("n").over(Window.partitionBy("group").orderBy("unit")) - F.col("n")).alias("add"))
+        before = before.withColumn("unit", F.shiftright("file", level * FILES_BITS)).join(units, "unit").select("file", (F.col("before") + F.col("add")).alias("before"))
+    order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-        .join(sums, "range")
+        .join(before, "file")
         .select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
     )
