@@ -80,7 +80,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, grain: int = 256, id_col: s
         .join(F.broadcast(by_group), "grp", "left")
         .join(F.broadcast(by_bundle), "bundle", "left")
         .select("id", "size", "text_crc32", F.coalesce("own", "common").alias("shard"))
-        .withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(max(SLICES, -(-count // SLICE_ROWS)))))
+        # rows without an id are told apart by their number, which the table written next keeps
+        .withColumn("number", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+        .withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32", "number"), F.lit(max(SLICES, -(-count // SLICE_ROWS)))))
+        .drop("number")
     )
     dealt = scratch.save(dealt, "dealt")
     before = (
