@@ -127,8 +127,10 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "token-orc").at("files")
+    scratch = Scratch(spark, "token-orc")
+    path = scratch.at("files")
     token_files.write_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    scratch.fade()
     return token_files.digest_orc(spark, path)
 
 

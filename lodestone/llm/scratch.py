@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (as in tests) an own one is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, an own one is set if all tasks run in this
+    process, as in tests; executors elsewhere could not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -19,7 +23,8 @@ def shared_root(spark: SparkSession) -> str:
 
 class Scratch:
     """A folder for one run of an operator. ``save`` writes a table and reads it back, so that a lost
-    executor costs at most the stage at hand; ``drop`` removes tables that no later step reads."""
+    executor costs at most the stage at hand; ``drop`` removes tables that no later step reads. What is left, which
+    results may still read, is removed when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -30,13 +35,22 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.at(name))
+        self.fade()
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def _fs(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def fade(self) -> None:
+        """Has the folder removed at the session's end."""
+        fs, path = self._fs(self.path)
+        fs.deleteOnExit(path)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.at(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._fs(self.at(name))
+            fs.delete(path, True)
 
     def release(self) -> None:
         """Lets Spark's cleaner remove shuffle files of finished steps whose frames are gone."""
