@@ -12,10 +12,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +29,8 @@ BLOCK = HOLDS | {
     "address", "aside", "caption", "dd", "details", "dialog", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
     "h4", "h5", "h6", "header", "hgroup", "hr", "li", "menu", "nav", "ol", "p", "pre", "search", "summary", "th", "thead", "tfoot", "ul",
 }
-#: What is never main text, by tag, by role, and by a word of its class or id.
+#: What is never main text, by tag, by role, and by a name of its class or id: one that is made of these words and
+#: others that only tell where something stands, such as cookie-notice or site-footer, but not share-price.
 SKIP_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "head", "label", "datalist"}
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 SKIP_WORDS = {
@@ -39,6 +40,11 @@ SKIP_WORDS = {
     "reply", "respond", "responses", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toc",
     "toolbar", "widget", "widgets",
 }
+PLACE_WORDS = {
+    "a", "and", "area", "article", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "column", "container", "content", "count", "desktop", "footer", "global",
+    "group", "header", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "site", "slot", "stories", "story", "thread", "top", "unit", "view", "wrap", "wrapper", "zone",
+}
 PAGE_HEADERS = {"header"}
 #: Blocks that stay in the article even if all their text is a link, unless a list holds them.
 FIRM = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
@@ -48,15 +54,15 @@ VOTES, WINNERS, BROADCAST_ROWS = 3, 3, 100_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+#: The host of a url that names one, in lower case; for Spark.
+HOST = r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
 #: A paragraph or list item ends where another begins, whether it was closed or not.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """Empty where there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit(""))
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -67,7 +73,7 @@ def attributes(raw: str) -> dict[str, str]:
 
 def step(tag: str, attrs: dict[str, str]) -> str:
     """A container in a path: its tag, and its classes or else its id with digits generalised."""
-    names = sorted(set((attrs.get("class") or attrs.get("id") or "").lower().split()))[:3]
+    names = sorted(set((attrs.get("class") or attrs.get("id") or "").lower().split()))
     return ".".join([tag, *(re.sub(r"\d+", "#", n) for n in names)])
 
 
@@ -78,13 +84,19 @@ def skipped(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main", "article", "h1"):
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in SKIP_WORDS for w in WORD.findall(names))
+    return any(boilerplate(name) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+
+
+@lru_cache(maxsize=1 << 14)
+def boilerplate(name: str) -> bool:
+    words = {w.lower() for w in WORD.findall(name)}
+    return not words.isdisjoint(SKIP_WORDS) and words <= SKIP_WORDS | PLACE_WORDS
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool, bool]]:
-    """(path of containers, text, characters in links, in a paragraph or heading, all links) of each block that may be
-    text. All links: an item or row without a letter or digit outside links; never a paragraph or heading of its own."""
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool, str]]:
+    """(path of containers, text, characters in links, in a paragraph or heading, kind) of each block that may be text.
+    Kind: ``links`` for a row without a letter or digit outside its links, ``item`` for such an item of a list, and
+    empty for any other block; paragraphs, headings and quotations are others, unless they stand in a list."""
     stack: list[tuple[str, str | None]] = []  # open elements; a step for containers
     skip_from: int | None = None
     text: list[str] = []
@@ -98,9 +110,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool, bool]]:
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
         n, outside, text, free, linked = linked, free, [], [], 0
         if whole:
-            held = firm and not any(t == "li" for t, _ in stack)
-            menu = n > 0 and not held and not any(c.isalnum() for c in html.unescape("".join(outside)))
-            yield tuple(s for _, s in stack if s), whole, min(n, len(whole)), prose, menu
+            listed = any(t == "li" for t, _ in stack)
+            held = listed or firm or any(t == "blockquote" for t, _ in stack)
+            bare = n > 0 and not any(c.isalnum() for c in html.unescape("".join(outside)))
+            kind = "" if not bare or (held and not listed) else "item" if listed else "links"
+            yield tuple(s for _, s in stack if s), whole, min(n, len(whole)), prose, kind
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -195,38 +209,50 @@ def inside(path: tuple[str, ...], container: str) -> bool:
     return whole == container or whole.startswith(container + ">")
 
 
+def reads_like_text(some: list) -> bool:
+    """Mostly paragraphs, and few links."""
+    size = sum(len(text) for _, text, *_ in some)
+    return 2 * sum(len(text) for _, text, _, prose, _ in some if prose) > size and 5 * sum(linked for _, _, linked, *_ in some) < size
+
+
 def extract(page: str | None, winners: list[str]) -> str:
-    """Blocks within the first of ``winners`` that the page has, or else within its own best container."""
+    """Blocks within the first of ``winners`` that the page has, and within others of them beside it if they read like
+    text; where it has none, within its own best container."""
     found = list(blocks(page or ""))
     if not found:
         return ""
-    for container in winners:
-        if kept := [b for b in found if inside(b[0], container)]:
-            break
+    held = {w: [inside(b[0], w) for b in found] for w in winners}
+    mine = [w for w in winners if any(held[w])]
+    if mine:
+        chosen = mine[0]
+        beside = [w for w in mine[1:] if w.rpartition(">")[0] == chosen.rpartition(">")[0] and reads_like_text([b for b, h in zip(found, held[w]) if h])]
+        kept = [b for k, b in enumerate(found) if any(held[w][k] for w in (chosen, *beside))]
     else:
         scores = path_scores(page)
-        best = max(scores, key=lambda p: (scores[p], -len(p), p), default="")
-        kept = [b for b in found if inside(b[0], best)] if best and scores[best] > 0 else found
-    # a list or row of links is a menu, wherever it stands
-    return "\n\n".join(text for _, text, _, _, menu in kept if not menu)
+        chosen = max(scores, key=lambda p: (scores[p], -len(p), p), default="")
+        chosen = chosen if chosen and scores[chosen] > 0 else ""
+        kept = [b for b in found if not chosen or inside(b[0], chosen)]
+    # a row of links is a menu wherever it stands, and a list of links where nothing but the page holds it
+    whole_page = chosen.split(">")[-1] in ("", "html", "body")
+    return "\n\n".join(text for _, text, _, _, kind in kept if not kind or (kind == "item" and not whole_page))
 
 
 def _votes(batches):
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             scores = path_scores(page)
             best = max(scores.values(), default=0.0)
             for path in sorted(scores, key=lambda p: (-scores[p], p))[:VOTES]:
                 if scores[path] > 0:
-                    for column, value in zip(out, (host_of(url), path, scores[path] / best)):
+                    for column, value in zip(out, (host, path, scores[path] / best)):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["host", "path", "vote"])
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, winners: its paths by votes. Votes are summed per task before they are shuffled; a host has few paths."""
-    votes = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, vote double")
+    votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, vote double")
     # whole thousandths, so that sums don't depend on their order
     summed = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("vote") * 1000).cast("long")).alias("votes"))
     top = summed.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= WINNERS)
@@ -249,7 +275,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     scratch = Scratch(pages.sparkSession, "html-text")
     winners = scratch.save(winning_paths(pages, url_col, html_col), "winners")
     small = winners.count() <= BROADCAST_ROWS
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     met = source.join(F.broadcast(winners) if small else winners, "host", "left").select("id", "url", "html", "winners")
     return met.mapInArrow(_extract, "id bigint, url string, text string, n_chars bigint")
