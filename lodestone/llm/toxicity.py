@@ -1,18 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that holds the same base and then what
-only toxic text has. A window of one word is compressed with either; the bytes that the toxic dictionary
-saves are the window's distance. A document's windows are counted by distance, and a logistic curve over
-these counts, fitted to labelled documents, turns thresholds into a calibrated score.
+Zstandard dictionaries are trained on windows of ordinary and of toxic text. A window is compressed with the ordinary
+dictionary and with it and a toxic one; the bytes that the toxic one saves are the window's distance. A document's
+windows are counted by distance, and a logistic curve over these counts, fitted to labelled documents, turns
+thresholds into a calibrated score.
+
+Toxic texts are mostly ordinary prose, so training is contrastive, over windows of five words. In each round, windows
+that the toxic dictionary shortens most are taken, and each word is blamed whose removal loses the saving. Words that
+are blamed in several different windows and hardly occur in ordinary text make up the next round's dictionary, together
+with one trained on windows that hold none of them yet.
+
+Two distances are measured in the end, and count together: of windows of five words, by a dictionary that zstandard
+trains on the toxic windows that hold blamed words; and of each word, by a dictionary of the blamed words, since a word
+in a window of others also shows savings by chance. Word distances are remembered.
 
 The compressor looks for no matches in the last bytes of its input and stores what doesn't shrink as it is,
 so a short window alone would cost the same with any dictionary. Each is therefore followed by a fixed trailer
-that ends both dictionaries and is in no text.
-
-Toxic texts are mostly ordinary prose, so training is contrastive, over windows of five words. In each round, windows that the toxic
-dictionary shortens most are taken, and each word is blamed whose removal loses the saving. Words that are
-blamed in several different windows and hardly occur in ordinary text make up the next round's dictionary,
-together with one trained on windows that hold none of them yet.
+that ends all dictionaries and is in no text.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.recall import Recall
 
-#: Words of a window in training; scored windows are single words.
+#: Words of a window.
 CONTEXT = 5
 #: Bytes that are in no UTF-8 text; see above.
 TRAILER = bytes(range(128, 192))
@@ -37,8 +41,10 @@ TRAILER = bytes(range(128, 192))
 REMEMBERED = 1 << 18
 BASE_BYTES, OWN_BYTES = 32768, 4096
 ROUNDS = 4
-#: Labelled documents of each class that training takes at most, the first by a hash of their ids.
+#: Labelled documents of each class that training takes at most, the first by a hash of their ids; the characters that
+#: it takes of each, from EXCERPTS places all over a longer one; and windows that a dictionary is trained on.
 SAMPLE = 3000
+SAMPLED_CHARS, EXCERPTS = 1 << 16, 16
 SAMPLED_WINDOWS = 50_000
 STRIP = b".,!?;:|#%$&*\"'()"
 LEVELS = 8
@@ -76,6 +82,7 @@ def compressor(content: bytes):
 class Model:
     base: bytes
     own: bytes
+    phrases: bytes
     weights: list[float]
     centre: list[float]
     scale: list[float]
@@ -86,12 +93,21 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"pair": None, "known": None}
 
-    def distances(self, text: str | None) -> np.ndarray:
-        """Of each window of the text; a window is one word here, and words are remembered."""
+    def open(self) -> None:
         if self.pair is None:
-            self.pair = compressor(self.base), compressor(self.base + self.own)
+            self.pair = compressor(self.base), compressor(self.base + self.own), compressor(self.base + self.phrases)
             self.known = Recall(REMEMBERED)
-        ordinary, toxic = self.pair
+
+    def distances(self, text: str | None) -> np.ndarray:
+        """Of each window of the text."""
+        self.open()
+        ordinary, _, phrases = self.pair
+        return np.array([len(ordinary(w)) - len(phrases(w)) for w in windows(text)], np.int64)
+
+    def word_distances(self, text: str | None) -> np.ndarray:
+        """Of each word of the text."""
+        self.open()
+        ordinary, toxic, _ = self.pair
         words = (text or "").lower().split()
         young = self.known.young
         try:
@@ -115,13 +131,15 @@ def curve(weights, x: np.ndarray) -> np.ndarray:
 
 
 def features(model: Model, texts: list[str | None]) -> np.ndarray:
-    """By document: largest and mean distance, length, and windows at or above each level, as counts and shares."""
-    out = np.zeros((len(texts), 3 + 2 * LEVELS))
+    """By document, of words and then of windows: largest and mean distance, number, and how many are at or above each
+    level, as counts and shares."""
+    half = 3 + 2 * LEVELS
+    out = np.zeros((len(texts), 2 * half))
     for i, text in enumerate(texts):
-        d = model.distances(text)
-        if len(d):
-            counts = np.bincount(d.clip(0, LEVELS), minlength=LEVELS + 1)[::-1].cumsum()[::-1][1:]
-            out[i] = [d.max(), np.clip(d, -2, 8).mean(), np.log1p(len(d)), *np.log1p(counts), *(10 * counts / len(d))]
+        for k, d in enumerate((model.word_distances(text), model.distances(text))):
+            if len(d):
+                counts = np.bincount(d.clip(0, LEVELS), minlength=LEVELS + 1)[::-1].cumsum()[::-1][1:]
+                out[i, k * half : (k + 1) * half] = [d.max(), np.clip(d, -2, 8).mean(), np.log1p(len(d)), *np.log1p(counts), *(10 * counts / len(d))]
     return out
 
 
@@ -159,7 +177,8 @@ def fit(toxic: list[str], ordinary: list[str], prior: float, seed: int = 7) -> M
         if not rest:
             break
     own = b" ".join([b"", *sorted(accepted, key=lambda w: (tdf[w], w)), b""])[-OWN_BYTES:]
-    model = Model(base, own, [], [], [])
+    phrases = trained(OWN_BYTES, some([w for w in tw if any(v.strip(STRIP) in accepted for v in w.split())]))
+    model = Model(base, own, phrases, [], [], [])
     x = np.concatenate([features(model, toxic), features(model, ordinary)])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     share = np.where(y == 1, prior / len(toxic), (1 - prior) / len(ordinary)) * len(y)
@@ -182,16 +201,21 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` labelled documents of each class that aren't held out. Without labels of
-    both classes there is none. Ids and labels that are null, and repeated rows, are left out."""
+    both classes there is none. Ids and labels that are null are left out; of rows that share an id, the smallest
+    text is taken. Of a long text, ``EXCERPTS`` pieces of ``SAMPLED_CHARS`` characters together are."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
     known = known.where(~held_out("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     size = dict(known.groupBy("y").count().collect())
+    long = F.char_length("text")
+    each = SAMPLED_CHARS // EXCERPTS
+    places = [(F.lit(k) * (long - each) / (EXCERPTS - 1) + 1).cast("int") for k in range(EXCERPTS)]
+    some = F.when(long <= SAMPLED_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *(F.substr("text", p, F.lit(each)) for p in places)))
     texts = {}
     for y in (0, 1):
         chosen = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
-        got = rows.join(F.broadcast(chosen), "id").collect()
-        texts[y] = [t for _, t in sorted({r["id"]: r["text"] for r in got}.items())]
+        got = rows.join(F.broadcast(chosen), "id").select("id", some.alias("text")).groupBy("id").agg(F.min("text").alias("text")).collect()
+        texts[y] = [t for _, t in sorted((r["id"], r["text"]) for r in got)]
     if not texts[0] or not texts[1]:
         return None
     return fit(texts[1], texts[0], size[1] / (size[0] + size[1]))
@@ -206,7 +230,7 @@ def _score(batches, model: Model | None):
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score. Null and empty texts have no windows and score 0;
-    without a model all scores are 0. The model is a few dozen KB, whatever it was trained on, and is
+    without a model all scores are 0. The model is less than 50 KB, whatever it was trained on, and is
     broadcast. Other columns are not read."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(model)
