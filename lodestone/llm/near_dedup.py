@@ -42,7 +42,7 @@ PERCENT = 75
 SIGMAS = 5
 ROWS = 1024
 #: Members of a bucket in a tile; a block holds one tile or two. Pairs whose sketches are compared at once.
-TILE, AT_ONCE = 1024, 8192
+TILE, AT_ONCE = 512, 8192
 SKETCH = "id bigint, text_hash bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, keys array<bigint>"
 #: Registers that an empty one looks at, in turn.
 TURNS = (wh.mix(np.arange(1, 256 * REGISTERS + 1, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64).reshape(256, REGISTERS)
@@ -197,10 +197,12 @@ def in_blocks(block: np.ndarray):
 
 def _met(rows: pa.Table, best: bool):
     """Of rows of whole blocks: pairs of different components that may be links; with ``best``, only the most similar
-    one of each row."""
-    block, id_, label, tile, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("block", "id", "label", "tile", "n"))
+    one of each row. A pair that shares several buckets is looked at in the first of them alone."""
+    block, key, id_, label, tile, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("block", "key", "id", "label", "tile", "n"))
     two = np.asarray(rows.column("two").combine_chunks().cast(pa.int8())) > 0
     regs = lanes(np.asarray(rows.column("bands").combine_chunks().flatten()))
+    keys = bucket_keys(regs.astype(np.int64))
+    earlier = np.arange(BANDS) < np.argmax(keys == key[:, None], axis=1)[:, None]
     size = n.astype(np.float64)
     found: list = [[], [], []]
     for a, b in in_blocks(block):
@@ -210,6 +212,8 @@ def _met(rows: pa.Table, best: bool):
         a, b = a[open_], b[open_]
         for k in range(0, len(a), AT_ONCE):
             x, y = a[k : k + AT_ONCE], b[k : k + AT_ONCE]
+            here = ~((keys[x] == keys[y]) & earlier[x]).any(axis=1)
+            x, y = x[here], y[here]
             j, keep = estimates(regs[x], regs[y], size[x], size[y])
             for column, value in zip(found, (x[keep], y[keep], j[keep])):
                 column.append(value)
@@ -250,10 +254,10 @@ def across(member: DataFrame, found: DataFrame, sketch: DataFrame, best: bool) -
     rows = label.join(open_.select("key", tiles.alias("tiles")), "key").join(sketch, "id")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     block = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    rows = rows.select(block.alias("block"), "id", "label", "tile", (F.col("tile") != F.col("other")).alias("two"), "n", "bands")
+    rows = rows.select(block.alias("block"), "key", "id", "label", "tile", (F.col("tile") != F.col("other")).alias("two"), "n", "bands")
     # both kinds of rows of a block of two tiles come: those of either tile
     pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _blocks(b, best), "a bigint, b bigint, j double")
-    return most_similar(pairs) if best else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return most_similar(pairs) if best else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def most_similar(pairs: DataFrame) -> DataFrame:
