@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import wordhash as wh
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.worker import lean
 
 N_WORDS = 13
 #: Benchmark text per broadcast set; its windows take about 60 times as much on an executor.
@@ -63,6 +64,7 @@ class WindowSet:
                     yield p, size, items
 
 
+@lean
 def _scan(batches, known: WindowSet):
     for batch in batches:
         for words in wh.slices(batch.column("text"), wh.FOLD, wh.ALNUM):
@@ -139,6 +141,7 @@ def judged(scanned: DataFrame) -> DataFrame:
     )
 
 
+@lean
 def _cut(batches):
     """Removes the hit words from texts; what stands between kept words stays."""
     for batch in batches:

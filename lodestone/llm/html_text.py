@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.worker import lean
 
 #: Fixed values of HTML: elements without content, with raw text, that hold others, and that begin a block.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -237,6 +238,7 @@ def extract(page: str | None, winners: list[str]) -> str:
     return "\n\n".join(text for _, text, _, _, kind in kept if not kind or (kind == "item" and not whole_page))
 
 
+@lean
 def _votes(batches):
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
@@ -259,6 +261,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("winners"))
 
 
+@lean
 def _extract(batches):
     for batch in batches:
         texts = [extract(page, winners or []) for page, winners in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist())]

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import wordhash as wh
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.worker import lean
 
 SHINGLE = 5
 BANDS, LANES = 56, 5
@@ -114,6 +115,7 @@ def bucket_keys(regs: np.ndarray) -> np.ndarray:
     return wh.mix(bands(filled(regs)).astype(np.uint64) ^ wh.place_keys(BANDS)).view(np.int64)
 
 
+@lean
 def _sketch(batches):
     for batch in batches:
         for words in wh.slices(batch.column("text"), wh.FOLD, wh.SPACED):
@@ -138,6 +140,7 @@ def _sketch(batches):
                 )
 
 
+@lean
 def _sets(batches):
     for batch in batches:
         for words in wh.slices(batch.column(1), wh.FOLD, wh.SPACED):
@@ -164,6 +167,7 @@ def estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> t
     return j, (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (j >= t - SIGMAS * error - 1 / used)
 
 
+@lean
 def _likely(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, AT_ONCE):
@@ -227,6 +231,7 @@ def _met(rows: pa.Table, best: bool):
     yield pa.RecordBatch.from_arrays([pa.array(id_[a], pa.int64()), pa.array(id_[b], pa.int64()), pa.array(j, pa.float64())], ["a", "b", "j"])
 
 
+@lean
 def _blocks(batches, best: bool):
     """Rows come sorted by block; the last block of a batch waits for the next one."""
     rest: list[pa.RecordBatch] = []

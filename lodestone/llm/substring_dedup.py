@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import wordhash as wh
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.worker import lean
 
 WINDOW = 50
 BLOCK = WINDOW // 2
@@ -176,6 +177,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("id")).astype(np.int64)
 
 
+@lean
 def _anchors(batches, parts: int, widths: tuple[int, ...]):
     buffer = Buffer(parts, widths, both=True)
     for batch in batches:
@@ -207,6 +209,7 @@ def _probe(keys: list[np.ndarray], ids: np.ndarray, pos: np.ndarray) -> np.ndarr
     return hit[(ids[hit] > least[at]) | (block[hit] & (ids[hit] < most[at]))]
 
 
+@lean
 def _windows(batches, parts: int, widths: tuple[int, ...]):
     buffer = Buffer(parts, widths, both=False)
     for batch in batches:
@@ -250,6 +253,7 @@ def _settled(group: pa.Table, widths: tuple[int, ...], rule) -> pa.Table:
     return pa.concat_tables(out)
 
 
+@lean
 def _again(batches, parts: int, whole: tuple[int, ...], widths: tuple[int, ...]):
     """Deals the blobs of ranges, which come one range after another, to the parts of each."""
     blobs: list[bytes] = []
@@ -289,6 +293,7 @@ def settle(rows: DataFrame, scan, parts: int, widths: tuple[int, ...], rule) ->
     return picked.groupBy("id").agg(F.collect_list("found").alias("found"))
 
 
+@lean
 def _cut(batches):
     for batch in batches:
         out = [[], [], [], [], []]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.pieces import batches as batches_of
 from lodestone.llm.pieces import split
 from lodestone.llm.recall import Recall
+from lodestone.llm.worker import lean
 
 #: White space as the pre-tokeniser sees it, and its pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -177,6 +178,7 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+@lean
 def _count(batches, path: str):
     counter = merger(path)
     for batch in batches:

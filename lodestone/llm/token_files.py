@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.pieces import batches as batches_of
 from lodestone.llm.pieces import ragged, split
 from lodestone.llm.recall import Recall
+from lodestone.llm.worker import lean
 
 #: Distinct pieces whose ids a generation of a Python worker's memory holds.
 REMEMBERED = 400_000
@@ -98,6 +99,7 @@ def encoder(path: str) -> Encoder:
 FILE = "doc_id bigint, place int, ids array<int>"
 
 
+@lean
 def _encode(batches, path: str, end_id: int):
     model, place = encoder(path), 0
     for batch in batches:
@@ -141,6 +143,7 @@ def read_orc(spark: SparkSession, path: str, ids: list[int] | None = None) -> Da
     return found if ids is None else found.where(F.col("doc_id").isin(list(ids)))
 
 
+@lean
 def _digest(batches):
     for batch in batches:
         column = batch.column("ids")

@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.recall import Recall
+from lodestone.llm.worker import lean
 
 #: Words of a window.
 CONTEXT = 5
 #: Bytes that are in no UTF-8 text; see above.
 TRAILER = bytes(range(128, 192))
-#: Distances that a worker remembers.
-REMEMBERED = 1 << 18
+#: Words' distances that a generation of a worker's memory holds, and texts that are scored at once.
+REMEMBERED, AT_ONCE = 1 << 16, 256
 BASE_BYTES, OWN_BYTES = 32768, 4096
 ROUNDS = 4
 #: Labelled documents of each class that training takes at most, the first by a hash of their ids; the characters that
@@ -221,11 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts[1], texts[0], size[1] / (size[0] + size[1]))
 
 
+@lean
 def _score(batches, model: Model | None):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        scores = model.scores(texts) if model is not None else np.zeros(len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
+        for k in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(k, AT_ONCE)
+            scores = model.scores(part.column(1).to_pylist()) if model is not None else np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,10 +240,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return source.mapInArrow(lambda batches: _score(batches, known.value), "id bigint, score double")
 
 
+@lean
 def _drop(batches, model: Model, text_col: str, threshold: float):
     for batch in batches:
-        keep = model.scores(batch.column(text_col).to_pylist()) < threshold
-        yield batch.filter(pa.array(keep))
+        texts = batch.column(text_col)
+        scores = [model.scores(texts.slice(k, AT_ONCE).to_pylist()) for k in range(0, batch.num_rows, AT_ONCE)]
+        yield batch.filter(pa.array(np.concatenate([*scores, []]) < threshold))
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
