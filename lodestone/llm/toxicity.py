@@ -10,7 +10,7 @@ that the toxic dictionary shortens most are taken, and each word is blamed whose
 are blamed in several different windows and hardly occur in ordinary text make up the next round's dictionary, together
 with one trained on windows that hold none of them yet.
 
-Two distances are measured in the end, and count together: of windows of five words, by a dictionary that zstandard
+Two distances are measured in the end, and count together: of windows of ten words, by a dictionary that zstandard
 trains on the toxic windows that hold blamed words; and of each word, by a dictionary of the blamed words, since a word
 in a window of others also shows savings by chance. Word distances are remembered.
 
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.recall import Recall
 from lodestone.llm.worker import lean
 
-#: Words of a window.
-CONTEXT = 5
+#: Words of a window in training, and when texts are scored.
+CONTEXT, SCORED = 5, 10
 #: Bytes that are in no UTF-8 text; see above.
 TRAILER = bytes(range(128, 192))
 #: Words' distances that a generation of a worker's memory holds, and texts that are scored at once.
-REMEMBERED, AT_ONCE = 1 << 16, 256
+REMEMBERED, AT_ONCE = 1 << 17, 256
 BASE_BYTES, OWN_BYTES = 32768, 4096
 ROUNDS = 4
 #: Labelled documents of each class that training takes at most, the first by a hash of their ids; the characters that
@@ -103,7 +103,7 @@ class Model:
         """Of each window of the text."""
         self.open()
         ordinary, _, phrases = self.pair
-        return np.array([len(ordinary(w)) - len(phrases(w)) for w in windows(text)], np.int64)
+        return np.array([len(ordinary(w)) - len(phrases(w)) for w in windows(text, SCORED)], np.int64)
 
     def word_distances(self, text: str | None) -> np.ndarray:
         """Of each word of the text."""

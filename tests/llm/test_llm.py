@@ -491,9 +491,9 @@ def test_distances_are_plain_compressions():
     for text in (toxic[0], ordinary[60], "One grubnak", ""):
         words = text.lower().split()
         one = [f" {w} ".encode() for w in words]
-        five = [f" {' '.join(words[k : k + 5])} ".encode() for k in range(0, len(words), 5)]
+        ten = [f" {' '.join(words[k : k + 10])} ".encode() for k in range(0, len(words), 10)]
         assert model.word_distances(text).tolist() == [size(model.base, w) - size(model.base + model.own, w) for w in one]
-        assert model.distances(text).tolist() == [size(model.base, w) - size(model.base + model.phrases, w) for w in five]
+        assert model.distances(text).tolist() == [size(model.base, w) - size(model.base + model.phrases, w) for w in ten]
 
 
 def test_training_takes_one_bounded_text_of_an_id(spark):
