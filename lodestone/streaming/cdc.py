@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +64,12 @@ def dead_letter(parsed: DataFrame, namespace: str, entity: str, stream: str, gro
 
 
 def fill_carried(children: DataFrame, parents: DataFrame, fk: str, pk: str, source: str, target: str) -> DataFrame:
-    """Children with the parent's column copied through the foreign key; null where there is no parent or value."""
+    """Children with the parent's column copied through the foreign key; where there is no parent, or its column isn't
+    set, a child keeps what it has."""
     from_parent = parents.select(F.col(pk).alias("__pk"), F.col(source).alias("__v"))
-    kept = children.drop(target) if target in children.columns else children
-    return kept.join(from_parent, F.col(fk) == F.col("__pk"), "left").withColumn(target, F.col("__v")).drop("__pk", "__v")
+    own = F.col(target) if target in children.columns else F.lit(None)
+    met = children.join(from_parent, F.col(fk) == F.col("__pk"), "left")
+    return met.withColumn(target, F.coalesce(F.col("__v"), own)).drop("__pk", "__v")
 
 
 def propagate(children: DataFrame, changed: DataFrame, fk: str, pk: str, source: str, target: str) -> DataFrame:
@@ -74,17 +79,31 @@ def propagate(children: DataFrame, changed: DataFrame, fk: str, pk: str, source:
     return met.withColumn(target, F.when(F.col("__new").isNotNull(), F.col("__new.v")).otherwise(F.col(target))).drop("__pk", "__new")
 
 
+@dataclass(frozen=True)
+class Carried:
+    """A column that children take from the row that their foreign key names; ``parents`` reads the rows of today."""
+
+    parents: Callable[[], DataFrame]
+    fk: str
+    pk: str
+    source: str
+    target: str
+
+
 class Applier:
     """Applies micro-batches to a keyed Parquet state under ``root``.
 
     Every batch writes a new snapshot, named by the batch, from the last one; a replayed batch finds its own snapshot
     done and changes nothing. The state keeps deletions and each key's order, so that a late, older change
-    never wins. Changes that fail are retried with the next batches and end as dead letters.
+    never wins. Carried columns are filled from their parents as changes are applied, and ``spread`` brings a parent's
+    new values to all children. What fails is tried again with the next batches, and is a dead letter after ``attempts``
+    tries: a body that is broken, or whose row ``check`` refuses (a condition on op, before and after, such as that a
+    referenced row has arrived, given with the error to state).
     """
 
-    def __init__(self, spark: SparkSession, root: str, namespace: str, entity: str, row: T.StructType, key: str, order: str = "seq", body: str = "body", attempts: int = MOST_ATTEMPTS):
+    def __init__(self, spark: SparkSession, root: str, namespace: str, entity: str, row: T.StructType, key: str, order: str = "seq", body: str = "body", attempts: int = MOST_ATTEMPTS, carried: tuple[Carried, ...] = (), check: Callable[[DataFrame], Column] | None = None):
         self.spark, self.root, self.namespace, self.entity, self.row, self.key = spark, root.rstrip("/"), namespace, entity, row, key
-        self.order, self.body, self.attempts = order, body, attempts
+        self.order, self.body, self.attempts, self.carried, self.check = order, body, attempts, carried, check
         self.state_schema = T.StructType([T.StructField("key", row[key].dataType), T.StructField("ord", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("after", row)])
 
     def _path(self, *parts) -> str:
@@ -123,17 +142,64 @@ class Applier:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id in self.done():
             return
-        parsed = parse(batch, self.row, self.body)
-        failed = parsed.where("kind = 'FAIL'")
-        # broken JSON doesn't mend: its attempts are spent at once, and newer messages aren't held up
-        letters = dead_letter(failed, self.namespace, self.entity, self.entity, "apply", self.order, self.body, F.lit("broken JSON"), F.lit(self.attempts))
-        if not failed.isEmpty():
-            letters.write.mode("overwrite").parquet(self._path("dlq", f"batch={batch_id}"))
+        log = batch.select(F.col(self.order).cast("long").alias(self.order), self.body, F.lit(0).alias("tries"))
+        log = log.unionByName(self.pending(batch_id).select(F.col(self.order).cast("long").alias(self.order), self.body, "tries"))
+        parsed = parse(log, self.row, self.body)
+        if self.check is not None:
+            refused = (F.col("kind") == "WRITE") & applicable(self.key) & ~F.coalesce(self.check(parsed), F.lit(False))
+            parsed = parsed.withColumn("kind", F.when(refused, "REFUSED").otherwise(F.col("kind")))
+        failed = parsed.where("kind in ('FAIL', 'REFUSED')").withColumn("tries", F.col("tries") + 1)
+        # each is processed before it is judged: a change that is mended by now is applied, whatever its tries
+        failed.where(F.col("tries") < self.attempts).select(self.order, self.body, "tries").write.mode("overwrite").parquet(self._path("pending", f"batch={batch_id}"))
+        spent = failed.where(F.col("tries") >= self.attempts)
+        error = F.when(F.col("kind") == "FAIL", "broken JSON").otherwise("refused")
+        if not spent.isEmpty():
+            dead_letter(spent, self.namespace, self.entity, self.entity, "apply", self.order, self.body, error, F.col("tries")).write.mode("overwrite").parquet(self._path("dlq", f"batch={batch_id}"))
         changes = dispatch(parsed, self.key, self.order).withColumn("ord", F.col("ord").cast("long"))
+        for c in self.carried:
+            changes = self._filled(changes, c)
         if not changes.isEmpty():
             self.spark.range(1).write.mode("overwrite").parquet(self._path("versions", f"batch={batch_id}"))
         both = self.snapshot(batch_id).unionByName(changes.select("key", "ord", "deleted", "after"))
         fold(both).write.mode("overwrite").parquet(self._path("state", f"batch={batch_id}"))
+        self._forget(batch_id)
+
+    @staticmethod
+    def _filled(changes: DataFrame, c: Carried) -> DataFrame:
+        wide = changes.withColumns({"__fk": F.col(f"after.{c.fk}"), "__own": F.col(f"after.{c.target}")})
+        wide = fill_carried(wide, c.parents(), "__fk", c.pk, c.source, "__own")
+        return wide.withColumn("after", F.when(F.col("after").isNotNull(), F.col("after").withField(c.target, F.col("__own")))).drop("__fk", "__own")
+
+    def spread(self, changed: DataFrame, c: Carried, batch_id: int) -> None:
+        """All children of changed parents get the parents' values, null included; a batch of its own."""
+        if batch_id in self.done():
+            return
+        rows = self.snapshot(batch_id).withColumns({"__fk": F.col(f"after.{c.fk}"), "__own": F.col(f"after.{c.target}")})
+        rows = propagate(rows, changed, "__fk", c.pk, c.source, "__own")
+        rows = rows.withColumn("after", F.when(F.col("after").isNotNull(), F.col("after").withField(c.target, F.col("__own"))))
+        self.pending(batch_id).write.mode("overwrite").parquet(self._path("pending", f"batch={batch_id}"))
+        self.spark.range(1).write.mode("overwrite").parquet(self._path("versions", f"batch={batch_id}"))
+        rows.select("key", "ord", "deleted", "after").write.mode("overwrite").parquet(self._path("state", f"batch={batch_id}"))
+        self._forget(batch_id)
+
+    def pending(self, before: int | None = None) -> DataFrame:
+        """Changes that failed and have tries left."""
+        at = [b for b in self.done() if before is None or b < before]
+        shape = f"`{self.order}` bigint, `{self.body}` string, tries int"
+        return self.spark.read.schema(shape).parquet(self._path("pending", f"batch={at[-1]}")) if at else self.spark.createDataFrame([], shape)
+
+    def _forget(self, batch_id: int, keep: int = 2) -> None:
+        """Removes snapshots that later ones stand for; the last ``keep`` stay."""
+        for b in [b for b in self.done() if b <= batch_id][:-keep]:
+            # a folder that is left without its mark counts as done no more, so the mark goes last
+            for top in ("pending", "state"):
+                p, fs = self._fs(self._path(top, f"batch={b}"))
+                if top == "pending":
+                    fs.delete(p, True)
+                else:
+                    for s in fs.listStatus(p):
+                        if s.getPath().getName() != "_SUCCESS":
+                            fs.delete(s.getPath(), True)
 
     def start(self, log: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer = log.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
