@@ -33,20 +33,26 @@ def _is(term: str):
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k: int | None, k1: float = K1, b: float = B) -> DataFrame:
     """Okapi scores of documents that hold any of the query's terms: id, score, rank for the first k.
 
-    Only terms of the query leave the scan: a document gives at most one row per term.
+    Texts are cut into terms once. Only terms of the query leave the scan, and all documents without any of them meet
+    as one row a task, for the statistics; the statistics and the scores are read from the same exchange.
     """
     spark = df.sparkSession
     terms = spark.range(1).select(F.explode(F.slice(F.array_distinct(lex_tokens(F.lit(query))), 1, MOST_TERMS)).alias("t"))
     wanted = [r["t"] for r in terms.collect()]
-    tokens = df.select(F.col(id_col).alias("id"), lex_tokens(F.col(text_col)).alias("tokens"))
-    counted = tokens.select("id", F.size("tokens").alias("dl"), *(F.size(F.filter("tokens", _is(t))).alias(f"__{i}") for i, t in enumerate(wanted)))
     if not wanted:
-        return counted.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"__{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(wanted))))
-    hits = counted.where(" or ".join(f"__{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(stats))
+        return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    names = [f"tf_{i}" for i in range(len(wanted))]
+    tokens = df.select(F.col(id_col).alias("id"), lex_tokens(F.col(text_col)).alias("tokens"))
+    found = tokens.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(wanted)).alias("found"))
+    hit = F.size("found") > 0
+    # a number of its own for each document with a hit, since ids may repeat; none for all others
+    rows = found.groupBy(F.when(hit, F.col("id")).alias("id"), F.when(hit, F.monotonically_increasing_id()).alias("row"))
+    counted = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("dl"), *(F.sum(F.size(F.filter("found", _is(t)))).alias(n) for n, t in zip(names, wanted)))
+    stats = counted.agg(F.sum("docs").alias("n"), (F.sum("dl") / F.sum("docs")).alias("avgdl"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"d{n}") for n in names))
+    hits = counted.where("docs > 0 and (" + " or ".join(f"{n} > 0" for n in names) + ")").crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, dfi = F.col(f"__{i}").cast("double"), F.col(f"df_{i}")
+    for n in names:
+        tf, dfi = F.col(n).cast("double"), F.col(f"d{n}")
         idf = F.log(1 + (F.col("n") - dfi + 0.5) / (dfi + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.select("id", score.alias("score"))
