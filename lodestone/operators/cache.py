@@ -26,7 +26,7 @@ def key_of(request: QueryRequest) -> str:
 
 
 def fresh_wanted(text: str | None, words: tuple[str, ...] = FRESH_WORDS) -> bool:
-    return any(w in (text or "").lower() for w in words)
+    return any(w in (text or "") for w in words)
 
 
 @dataclass
@@ -35,6 +35,7 @@ class ExactCache:
 
     clock: Callable[[], float] = time.monotonic
     capacity: int = CAPACITY
+    fresh_words: tuple[str, ...] = FRESH_WORDS
     entries: dict[str, tuple[float, object]] = field(default_factory=dict)
     members: dict[str, set[str]] = field(default_factory=dict)
 
@@ -63,9 +64,11 @@ class ExactCache:
         return sorted(k for k, (until, _) in self.entries.items() if k.startswith(prefix) and until > self.clock())
 
     def through(self, request: QueryRequest, run: Callable[[QueryRequest], object]):
-        """Reads unless fresh data is asked for; always stores."""
+        """Reads unless fresh data is asked for, by the request or by a word of its filters; always stores."""
         key = key_of(request)
-        if not request.fresh and (hit := self.get(key)) is not None:
+        asked = [*request.filters.values(), *request.text.values()]
+        fresh = request.fresh or any(fresh_wanted(v, self.fresh_words) for v in asked if isinstance(v, str))
+        if not fresh and (hit := self.get(key)) is not None:
             return hit
         value = run(request)
         self.put(key, value)
@@ -105,6 +108,12 @@ class SemanticCache:
             self.entries.remove(old)
         return True
 
+    def invalidate(self, entity: str) -> int:
+        """Drops the answers of an entity, as its exact ones are."""
+        before = len(self.entries)
+        self.entries = [e for e in self.entries if e["entity"] != entity]
+        return before - len(self.entries)
+
     def reindex(self) -> dict:
         """Entries of another embedder get new vectors."""
         report = {"scanned": len(self.entries), "skipped": 0, "migrated": 0, "failed": 0}

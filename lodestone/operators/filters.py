@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
@@ -67,8 +68,7 @@ def in_range(f: FieldSchema, r: RangeFilter, kind: str) -> Column:
     lo, hi = r.ends()
     col = F.col(r.field)
     if kind.startswith("timestamp"):
-        instant = lambda ms: F.timestamp_millis(F.lit(int(ms))).cast(kind)
-        lo, hi = (None if x is None else instant(x) for x in (lo, hi))
+        lo, hi = (None if x is None else instant(int(x), kind) for x in (lo, hi))
     elif kind == "date":
         day = lambda ms: F.date_from_unix_date(F.lit(int(ms // 86_400_000)))
         lo, hi = (None if x is None else day(x) for x in (lo, hi))
@@ -76,6 +76,14 @@ def in_range(f: FieldSchema, r: RangeFilter, kind: str) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def instant(ms: int, kind: str) -> Column:
+    """A literal of the column's kind; one without a zone is in UTC, whatever the session's zone is."""
+    if kind == "timestamp_ntz":
+        at = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+        return F.expr(f"timestamp_ntz'{at.isoformat(sep=' ', timespec='milliseconds')}'")
+    return F.timestamp_millis(F.lit(ms))
+
+
 def predicates(schema: EntitySchema, df: DataFrame, filters: dict, ranges: tuple, text: dict, strict: bool = False) -> Column:
     """All of a request's conditions together; none is met by every row. ``strict`` refuses what no index answers."""
     kinds = dict(df.dtypes)

@@ -13,7 +13,7 @@ from lodestone.functions.vectors import cosine
 from lodestone.operators import topk
 from lodestone.plans.errors import invalid
 
-KEEP_SHARE, SUMMARY_CHARS, SUMMARY_ENTRIES, EXTRACT_EVERY = 0.4, 8000, 2, 6
+KEEP_PERCENT, SUMMARY_CHARS, SUMMARY_ENTRIES, EXTRACT_EVERY = 40, 8000, 2, 6
 CHANNEL, DEFAULT_LIMIT, MOST_LIMIT, DEDUP_COSINE = 12, 10, 50, 0.85
 
 
@@ -23,14 +23,14 @@ def sessions(turns: DataFrame, session: str, seq: str, content: str) -> DataFram
     return turns.groupBy(session).agg(entries.alias("entries"))
 
 
-def summary_split(turns: DataFrame, session: str, seq: str, content: str, share: float = KEEP_SHARE) -> DataFrame:
-    """Adds part: the newest entries are kept until they hold ``share`` of the session's characters, at least one;
-    the older ones are to be summarised."""
+def summary_split(turns: DataFrame, session: str, seq: str, content: str, percent: int = KEEP_PERCENT) -> DataFrame:
+    """Adds part: the newest entries are kept until they hold ``percent`` of the session's characters, in whole
+    characters, and at least one is; the older ones are to be summarised."""
     chars = F.char_length(F.coalesce(F.col(content), F.lit("")))
     newest = Window.partitionBy(session).orderBy(F.desc(seq))
     newer = F.coalesce(F.sum(chars).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(chars).over(Window.partitionBy(session))
-    return turns.withColumn("part", F.when((F.row_number().over(newest) == 1) | (newer < share * total), "keep").otherwise("summarise"))
+    return turns.withColumn("part", F.when((F.row_number().over(newest) == 1) | (newer < F.floor(total * percent / 100)), "keep").otherwise("summarise"))
 
 
 def due(turns: DataFrame, session: str, seq: str, content: str) -> DataFrame:

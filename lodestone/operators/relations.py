@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.govern import mask, row_scope, tenant_scope
+from lodestone.operators.govern import guard, mask, row_scope, tenant_scope
 from lodestone.plans.errors import NOT_FOUND, RequestError, invalid
 from lodestone.plans.schema import EntitySchema
 
@@ -33,6 +33,7 @@ def forward(tables: Tables, entity: str, fk: str, where: Column | None = None, t
     target = schema.foreign_keys().get(fk)
     if target is None or target not in tables:
         raise invalid(f"{fk} of {entity} isn't a foreign key")
+    guard(schema, tags, fk)
     source = seen(schema, df if where is None else df.where(where), tenant, tags).select(F.col(schema.primary_key).alias("source_key"), F.col(fk).alias("fk"))
     dim_schema, dim = tables[target]
     dim = seen(dim_schema, dim, tenant, tags)
@@ -45,6 +46,7 @@ def reverse(tables: Tables, entity: str, child: str, fk: str, keys: DataFrame |
     child_schema, rows = tables[child]
     if child_schema.foreign_keys().get(fk) != entity:
         raise invalid(f"{fk} of {child} doesn't point at {entity}")
+    guard(child_schema, tags, fk)
     parents = seen(schema, df, tenant, tags).select(F.col(schema.primary_key).alias("source_key"))
     if keys is not None:
         parents = parents.join(keys.select(F.col(keys.columns[0]).alias("source_key")), "source_key", "left_semi")
@@ -73,13 +75,17 @@ def bundle(tables: Tables, entity: str, key, field: str | None = None, page_size
     return out
 
 
-def relation_counts(tables: Tables, entity: str) -> DataFrame:
-    """For every row of an entity, its children per relation: one aggregate per child table, united."""
+def relation_counts(tables: Tables, entity: str, tenant: str | None = None, tags: frozenset[str] | None = None) -> DataFrame:
+    """For every row of an entity that the caller may see, the children they may see per relation: one aggregate per
+    child table, united. A hidden foreign key is an error."""
     schema, df = tables[entity]
+    parents = seen(schema, df, tenant, tags).select(F.col(schema.primary_key).alias("source_key"))
     out = None
     for child, fk in edges(tables).get(entity, []):
-        counts = tables[child][1].where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("source_key")).agg(F.count(F.lit(1)).alias("total"))
-        part = df.select(F.col(schema.primary_key).alias("source_key")).join(counts, "source_key", "left")
+        child_schema, rows = tables[child]
+        guard(child_schema, tags, fk)
+        counts = seen(child_schema, rows, tenant, tags).where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("source_key")).agg(F.count(F.lit(1)).alias("total"))
+        part = parents.join(counts, "source_key", "left")
         part = part.select("source_key", F.lit(f"{child}.{fk}").alias("relation"), F.coalesce("total", F.lit(0)).alias("total"))
         out = part if out is None else out.unionByName(part)
     if out is None:

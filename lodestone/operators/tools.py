@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,8 +15,10 @@ from lodestone.plans.requests import QueryRequest, RangeFilter
 from lodestone.plans.schema import EntitySchema
 
 PER_ENTITY, LIMIT, MOST = 8, 8, 20
-#: What a word of a search is worth by where it is found.
-WEIGHTS = {"name": 100, "name_part": 80, "name_in": 60, "entity": 50, "field": 40, "entity_in": 30, "field_in": 20, "description": 10}
+#: What a word of a search is worth where it equals or occurs in a tool's text; the best place counts.
+NAME_EQUAL, NAME_IN = 100, 60
+ENTITY_EQUAL, ENTITY_IN = 80, 50
+FIELD_NAMES_IN, NAMESPACE_IN, FIELD_DESCRIPTIONS_IN, DESCRIPTION_IN = 40, 30, 20, 10
 
 
 @dataclass(frozen=True)
@@ -32,13 +35,14 @@ class Tool:
 
 def generate(schemas: list[EntitySchema]) -> list[Tool]:
     """query, get by key, range, filter and text tools, at most eight an entity; clashing names get the namespace in
-    front, and then numbers."""
+    front, and then numbers. Foreign keys have range tools as any number has."""
     out, taken = [], set()
     for s in schemas:
         wanted = [(f"query_{s.entity}", "query", None), (f"get_{s.entity}_by_{s.primary_key}", "get", s.primary_key)]
-        wanted += [(f"find_{s.entity}_by_{f.name}_range", "range", f.name) for f in s.fields if f.kind == "numeric" and f.name != s.primary_key and not f.related]
+        wanted += [(f"find_{s.entity}_by_{f.name}_range", "range", f.name) for f in s.fields if f.kind == "numeric" and f.name != s.primary_key]
         wanted += [(f"filter_{s.entity}_by_{f.name}", "filter", f.name) for f in s.fields if f.kind == "tag" and f.name != s.primary_key]
-        wanted += [(f"search_{s.entity}_by_{f.name}_text", "text", f.name) for f in s.fields if f.kind == "text"]
+        texts = [f.name for f in s.fields if f.kind == "text"]
+        wanted += [(f"search_{s.entity}_by_{'text' if len(texts) == 1 else t}", "text", t) for t in texts]
         for name, kind, field in wanted[:PER_ENTITY]:
             final, n = name, 2
             if final in taken:
@@ -75,33 +79,38 @@ def call(tool: Tool, args: dict, tables: Callable[[str], DataFrame]) -> DataFram
 
 
 def catalogue(spark: SparkSession, tools: list[Tool]) -> DataFrame:
-    return spark.createDataFrame([(t.name, t.schema.entity, t.field or "", t.description) for t in tools], "name string, entity string, field string, description string")
+    """One row per tool, with the texts that a search looks at."""
+    rows = [(t.name, t.schema.entity, t.schema.namespace, " ".join(f.name for f in t.schema.fields), " ".join(f.description or "" for f in t.schema.fields), t.description) for t in tools]
+    return spark.createDataFrame(rows, "name string, entity string, namespace string, field_names string, field_descriptions string, description string")
 
 
 def tool_score(word: str) -> Column:
     """The best place that one lower-case word is found at."""
-    name, entity, field = F.lower("name"), F.lower("entity"), F.lower("field")
-    w = F.lit(word)
-    places = {
-        "name": name == w, "name_part": F.array_contains(F.split(name, "_"), w), "name_in": name.contains(word), "entity": entity == w,
-        "field": field == w, "entity_in": entity.contains(word), "field_in": field.contains(word), "description": F.lower("description").contains(word),
-    }
-    return F.greatest(*(F.when(found, WEIGHTS[k]).otherwise(0) for k, found in places.items()))
+    low = {c: F.lower(c) for c in ("name", "entity", "namespace", "field_names", "field_descriptions", "description")}
+    held = lambda c: low[c].contains(word)
+    places = [
+        (low["name"] == word, NAME_EQUAL), (low["entity"] == word, ENTITY_EQUAL), (held("name"), NAME_IN), (held("entity"), ENTITY_IN),
+        (held("field_names"), FIELD_NAMES_IN), (held("namespace"), NAMESPACE_IN), (held("field_descriptions"), FIELD_DESCRIPTIONS_IN), (held("description"), DESCRIPTION_IN),
+    ]
+    return F.coalesce(*(F.when(found, worth) for found, worth in places), F.lit(0))
 
 
 def search(tools: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(name, score): an exact name alone, else the best by summed word scores; a blank query lists entities' tools."""
+    """(name, score): an exact name alone, else the best by summed word scores. Words are runs of ASCII letters and
+    digits and of Chinese characters; a query without any finds nothing, and ``overview`` serves it."""
     limit = min(LIMIT if limit is None or limit < 1 else limit, MOST)
-    words = [w for w in query.lower().replace("_", " ").split()]
-    if not words:
-        return tools.select("name", F.lit(0).alias("score")).orderBy("name").limit(limit)
-    exact = tools.where(F.lower("name") == query.strip().lower()).select("name", F.lit(WEIGHTS["name"]).alias("score"))
+    exact = tools.where(F.col("name") == query.strip()).select("name", F.lit(NAME_EQUAL).alias("score"))
     if not exact.isEmpty():
         return exact
-    score = sum((tool_score(w) for w in words), F.lit(0))
+    score = sum((tool_score(w) for w in re.findall("[a-z0-9\u4e00-\u9fa5]+", query.lower())), F.lit(0))
     return tools.select("name", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "name").limit(limit)
 
 
+def overview(tools: DataFrame) -> DataFrame:
+    """Tools per entity: what a blank search is answered with."""
+    return tools.groupBy("namespace", "entity").agg(F.count(F.lit(1)).alias("tools"), F.min("name").alias("first"))
+
+
 def find(tools: list[Tool], name: str) -> Tool:
     for t in tools:
         if t.name == name:

@@ -23,12 +23,17 @@ from lodestone.streaming import cdc
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+LATER: dict[str, Callable[[], str]] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | Callable[[], str] | None = None):
+    """``sql`` may be a function where it is made of what stands further down."""
+
     def put(f: Query) -> Query:
         QUERIES[name] = f
-        if sql:
+        if callable(sql):
+            LATER[name] = sql
+        elif sql:
             ORACLES[name] = sql
         return f
 
@@ -73,7 +78,7 @@ def computed(name: str, table: str, sql: str, **columns) -> None:
 
 
 col = F.col
-TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}]+')"
 
 # --- sources ---------------------------------------------------------------------------------------------------
 
@@ -151,9 +156,12 @@ def dead_letters(spark, sf_dir):
     return cdc.dead_letter(failed, NS, "events", "events", "apply", "seq", "body", F.lit("broken JSON"), F.lit(3)).select("ns", "entity", "msgId", "deliveryCount", "error")
 
 
-@register("snk_4_side_writes", f"SELECT doc_id AS id, sha256(text) AS memory_hash, array_to_string({TOKENS}, ' ') AS lex, source AS owner FROM documents")
+@register("snk_4_side_writes", lambda: f"""WITH {embed_sql('doc_id', 'text', 'documents')}, vectors AS (SELECT doc_id, list(round(coalesce(x, 0), 5) ORDER BY slot) AS vector
+  FROM (SELECT doc_id, unnest(range(256)) AS slot FROM documents) LEFT JOIN entries USING (doc_id, slot) GROUP BY doc_id)
+SELECT doc_id AS id, sha256(text) AS memory_hash, array_to_string({TOKENS}, ' ') AS lex, source AS owner, vector FROM documents JOIN vectors USING (doc_id)""")
 def side_writes(spark, sf_dir):
-    return memory.remembered(parquet(spark, sf_dir, "documents"), "doc_id", "text", col("source")).select("id", "memory_hash", "lex", "owner")
+    made = memory.remembered(parquet(spark, sf_dir, "documents"), "doc_id", "text", col("source"))
+    return made.select("id", "memory_hash", "lex", "owner", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
 # --- filters and projections -----------------------------------------------------------------------------------
@@ -288,11 +296,14 @@ aggregated("jn_4_dimension_region", "nation", "SELECT r_name, count(*) AS count
 aggregated("jn_4_dimension_brand", "lineitem", "SELECT p_brand, count(*) AS count, round(sum(l_quantity), 2) AS sum_l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY sum(l_quantity) DESC, 1 LIMIT 100", ("sum_l_quantity",), ("part",), group_by=("l_partkey->part.p_brand",), metrics=(("count",), ("sum", "l_quantity")), sort_by="sum_l_quantity", limit=100)
 
 
-@register("jn_5_carried_fill", "SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+@register("jn_5_carried_fill", """SELECT coalesce(CASE WHEN o_orderkey % 5 != 0 THEN o_orderstatus END, l_linestatus) AS pay, count(*) AS n, round(sum(l_quantity), 2) AS qty
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderkey % 3 != 0 GROUP BY 1""")
 def carried_fill(spark, sf_dir):
+    """Some parents are absent, others have no value: children keep their own."""
     t = tables(spark, sf_dir, "lineitem", "orders")
-    wide = cdc.fill_carried(t["lineitem"][1], t["orders"][1], "l_orderkey", "o_orderkey", "o_orderstatus", "o_orderstatus")
-    return wide.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    parents = t["orders"][1].where("o_orderkey % 3 != 0").withColumn("o_orderstatus", F.when(col("o_orderkey") % 5 != 0, col("o_orderstatus")))
+    wide = cdc.fill_carried(t["lineitem"][1].withColumn("pay", col("l_linestatus")), parents, "l_orderkey", "o_orderkey", "o_orderstatus", "pay")
+    return wide.groupBy("pay").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
 @register("jn_6_carried_propagate", """SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS pay, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
@@ -401,14 +412,17 @@ register("set_3_hash_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS h FR
 # --- scalar functions ------------------------------------------------------------------------------------------
 
 computed("fn_1_lex_tokens", "documents", f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n, array_to_string({TOKENS}, '|') AS t FROM documents", doc_id=lambda: col("doc_id"), n=lambda: F.size(tx.lex_tokens(col("text"))), t=lambda: F.array_join(tx.lex_tokens(col("text")), "|"))
-computed("fn_2_lex_text", "part", r"SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), ' ') AS t FROM part", p_partkey=lambda: col("p_partkey"), t=lambda: tx.lex_text(col("p_name")))
+computed("fn_2_lex_text", "part", r"SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[\p{L}\p{Nd}]+'), ' ') AS t FROM part", p_partkey=lambda: col("p_partkey"), t=lambda: tx.lex_text(col("p_name")))
 computed("fn_3_or_query", "documents", f"SELECT doc_id, array_to_string(({TOKENS})[1:24], '|') AS q FROM documents", doc_id=lambda: col("doc_id"), q=lambda: tx.or_query(col("text")))
 computed("fn_4_sha256", "documents", "SELECT doc_id, sha256(text) AS h FROM documents", doc_id=lambda: col("doc_id"), h=lambda: tx.sha256_hex(col("text")))
 computed("fn_8_digit_slots", "documents", r"SELECT doc_id, list_sort(regexp_extract_all(text, '\d+')) AS s FROM documents", doc_id=lambda: col("doc_id"), s=lambda: tx.digit_slots(col("text")))
 computed("fn_9_slot_consistent", "documents", r"SELECT doc_id, list_sort(regexp_extract_all(text, '\d+')) = list_sort(regexp_extract_all(source, '\d+')) AS same FROM documents", doc_id=lambda: col("doc_id"), same=lambda: tx.slot_consistent(col("text"), col("source")))
-computed("fn_10_model_tag", "documents", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'none' ELSE substr(sha256(source), 1, 8) END AS tag FROM documents", doc_id=lambda: col("doc_id"), tag=lambda: tx.model_tag(F.when(col("source") != "src3", col("source"))))
-computed("fn_11_fresh", "conversations", "SELECT conv_id, turn, contains(lower(coalesce(text, '')), 'now') OR contains(lower(coalesce(text, '')), 'live') AS fresh FROM conversations", conv_id=lambda: col("conv_id"), turn=lambda: col("turn"), fresh=lambda: tx.is_fresh_sensitive(col("text"), ("now", "live")))
-computed("fn_14_values_equal", "orders", "SELECT o_orderkey, true AS a, o_orderkey % 2 = 0 AS b FROM orders", o_orderkey=lambda: col("o_orderkey"), a=lambda: tx.values_equal(col("o_orderkey").cast("string"), F.concat(col("o_orderkey").cast("string"), F.lit(".00"))), b=lambda: tx.values_equal((col("o_orderkey") % 2).cast("string"), F.lit("0")))
+computed("fn_10_model_tag", "documents", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'none' ELSE substr(sha256(source), 1, 8) END AS tag FROM documents", doc_id=lambda: col("doc_id"), tag=lambda: tx.model_tag(F.when(col("source") != "src3", F.concat(F.lit("  "), col("source"), F.lit(" ")))))
+computed("fn_11_fresh", "conversations", "SELECT conv_id, turn, coalesce(contains(text, 'Th') OR contains(text, 'live'), false) AS named, conv_id % 7 = 0 AND turn % 2 = 0 AS usual FROM conversations", conv_id=lambda: col("conv_id"), turn=lambda: col("turn"),
+         named=lambda: tx.is_fresh_sensitive(col("text"), ("Th", "live")), usual=lambda: tx.is_fresh_sensitive(F.concat(F.coalesce("text", F.lit("")), F.when((col("conv_id") % 7 == 0) & (col("turn") % 2 == 0), "订单 今天").otherwise("now, today"))))
+computed("fn_14_values_equal", "orders", "SELECT o_orderkey, true AS a, o_orderkey % 2 = 0 AS b, false AS c, o_totalprice = round(o_totalprice) AS d, o_orderkey % 3 = 0 AS e FROM orders", o_orderkey=lambda: col("o_orderkey"), a=lambda: tx.values_equal(col("o_orderkey").cast("string"), F.concat(col("o_orderkey").cast("string"), F.lit(".00"))),
+         b=lambda: tx.values_equal((col("o_orderkey") % 2).cast("string"), F.lit("0")), c=lambda: tx.values_equal(F.concat(col("o_orderkey").cast("string"), F.lit(".12345678901")), F.concat(col("o_orderkey").cast("string"), F.lit(".12345678902"))),
+         d=lambda: tx.values_equal(col("o_totalprice").cast("string"), F.round("o_totalprice").cast("string")), e=lambda: tx.values_equal(F.when(col("o_orderkey") % 3 != 0, col("o_orderstatus")), F.lit(None).cast("string")))
 computed("fn_15_normalize", "events", "SELECT event_id, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS t FROM events", event_id=lambda: col("event_id"), t=lambda: tx.normalize_scalar(col("ts"), "timestamp_ntz"))
 computed("fn_16_unwrap", "events", "SELECT event_id, event_type AS a, event_type AS b FROM events", event_id=lambda: col("event_id"), a=lambda: tx.unwrap_json(F.to_json(F.array("event_type"))), b=lambda: tx.unwrap_json(col("event_type")))
 computed("fn_18_usage", "documents", "SELECT doc_id, CAST(least(100, floor(length(text) * 100 / 8000)) AS INTEGER) AS pct FROM documents", doc_id=lambda: col("doc_id"), pct=lambda: tx.usage_percent(F.char_length("text")))
@@ -420,25 +434,44 @@ def cosines(spark, sf_dir):
     return parquet(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(col("embedding"), q), 6).alias("c"))
 
 
-EMBED_SQL = r"""WITH tok AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS tk FROM part),
-tf AS (SELECT p_partkey, t, count(*) AS f, any_value(len(tk)) AS dl FROM (SELECT p_partkey, tk, unnest(tk) AS t FROM tok) GROUP BY p_partkey, t),
-h AS (SELECT p_partkey, f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / 24)) AS w, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(t, '')]), lambda a, c: (a * 31 + c) % 4294967296) % 256 AS slot FROM tf),
-s AS (SELECT p_partkey, slot, sum(w) AS w FROM h GROUP BY ALL)
-SELECT p_partkey, CAST(slot AS INTEGER) AS slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)), 6) AS x FROM s"""
+def embed_sql(key: str, text: str, table: str) -> str:
+    """Common table expressions that end in entries ({key}, slot, x) of the hashed embedding."""
+    return rf"""low AS (SELECT {key}, regexp_replace(lower(coalesce({text}, '')), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS t FROM {table}),
+term AS (SELECT {key}, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS t FROM low
+  UNION ALL SELECT {key}, substr(t, i, 2) FROM (SELECT {key}, t, unnest(range(1, length(t) + 1)) AS i FROM low) WHERE NOT regexp_matches(substr(t, i, 1), '[a-z0-9]')),
+tf AS (SELECT {key}, t, count(*) AS f FROM term GROUP BY ALL),
+dl AS (SELECT {key}, count(*) AS dl FROM term GROUP BY ALL),
+h AS (SELECT {key}, f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / 24)) AS w, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(t, '')]), lambda a, c: (a * 31 + c) % 4294967296) % 256 AS slot FROM tf JOIN dl USING ({key})),
+s AS (SELECT {key}, slot, sum(w) AS w FROM h GROUP BY ALL),
+entries AS (SELECT {key}, CAST(slot AS INTEGER) AS slot, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS x FROM s)"""
+
+
+register("fn_6_bm25_embed", f"WITH {embed_sql('p_partkey', 'p_name', 'part')} SELECT p_partkey, slot, round(x, 6) AS x FROM entries")(
+    lambda spark, sf_dir: tx.bm25_entries(parquet(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("x", F.round("x", 6))
+)
+register("fn_6_other_scripts", f"WITH {embed_sql('doc_id', 'text', 'documents')} SELECT doc_id, slot, round(x, 6) AS x FROM entries")(
+    lambda spark, sf_dir: tx.bm25_entries(parquet(spark, sf_dir, "documents"), "doc_id", "text").withColumn("x", F.round("x", 6))
+)
 
+TOOL_SCORES = """WITH t AS (SELECT *, 'shop' AS namespace, CASE entity WHEN 'orders' THEN 'o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority' ELSE 'c_custkey c_name c_nationkey c_acctbal c_mktsegment' END AS fields
+  FROM (VALUES ('query_orders', 'orders', 'query orders'), ('get_orders_by_o_orderkey', 'orders', 'get orders by o_orderkey'), ('find_orders_by_o_custkey_range', 'orders', 'range orders by o_custkey'),
+    ('find_orders_by_o_totalprice_range', 'orders', 'range orders by o_totalprice'), ('find_orders_by_o_orderdate_range', 'orders', 'range orders by o_orderdate'), ('filter_orders_by_o_orderstatus', 'orders', 'filter orders by o_orderstatus'),
+    ('filter_orders_by_o_orderpriority', 'orders', 'filter orders by o_orderpriority'), ('query_customer', 'customer', 'query customer'), ('get_customer_by_c_custkey', 'customer', 'get customer by c_custkey'),
+    ('find_customer_by_c_nationkey_range', 'customer', 'range customer by c_nationkey'), ('find_customer_by_c_acctbal_range', 'customer', 'range customer by c_acctbal'), ('filter_customer_by_c_name', 'customer', 'filter customer by c_name'),
+    ('filter_customer_by_c_mktsegment', 'customer', 'filter customer by c_mktsegment')) v(name, entity, description)),
+w AS (SELECT unnest(string_split('{words}', ' ')) AS w)
+SELECT name, CAST(sum(greatest(CASE WHEN name = w THEN 100 WHEN contains(name, w) THEN 60 ELSE 0 END, CASE WHEN entity = w THEN 80 WHEN contains(entity, w) THEN 50 ELSE 0 END, CASE WHEN contains(fields, w) THEN 40 ELSE 0 END,
+  CASE WHEN contains(namespace, w) THEN 30 ELSE 0 END, CASE WHEN contains(description, w) THEN 10 ELSE 0 END)) AS INTEGER) AS score FROM t, w GROUP BY name HAVING sum(greatest(CASE WHEN contains(name, w) THEN 60 ELSE 0 END, CASE WHEN contains(entity, w) THEN 50 ELSE 0 END,
+  CASE WHEN contains(fields, w) THEN 40 ELSE 0 END, CASE WHEN contains(namespace, w) THEN 30 ELSE 0 END, CASE WHEN contains(description, w) THEN 10 ELSE 0 END)) > 0 ORDER BY 2 DESC, 1 LIMIT 20"""
 
-@register("fn_6_bm25_embed", EMBED_SQL)
-def embedded(spark, sf_dir):
-    v = parquet(spark, sf_dir, "part").select("p_partkey", F.posexplode(tx.bm25_embed(col("p_name"))).alias("slot", "x"))
-    return v.where("x != 0").withColumn("x", F.round("x", 6))
 
+def searched_tools(asked: str) -> Query:
+    return lambda spark, sf_dir: tools.search(tools.catalogue(spark, tools.generate([catalog.ORDERS, catalog.CUSTOMER])), asked, 20).withColumn("score", col("score").cast("int"))
 
-@register("fn_19_tool_score", """SELECT * FROM (VALUES ('get_orders_by_o_orderkey', 160), ('get_customer_by_c_custkey', 80), ('find_orders_by_o_totalprice_range', 80), ('find_orders_by_o_orderdate_range', 80), ('filter_orders_by_o_orderstatus', 80),
-('filter_orders_by_o_orderpriority', 80), ('query_orders', 80), ('query_customer', 0)) t(name, score) WHERE score > 0""")
-def tool_scores(spark, sf_dir):
-    made = tools.generate([catalog.ORDERS, catalog.CUSTOMER])
-    return tools.search(tools.catalogue(spark, made), "get orders", 20).where("score >= 80")
 
+register("fn_19_tool_score", TOOL_SCORES.format(words="get orders"))(searched_tools("get orders"))
+register("fn_19_tool_fields", TOOL_SCORES.format(words="custkey customer shop filter"))(searched_tools("Custkey, customer_shop: FILTER!"))
+register("fn_19_exact_name", "SELECT 'query_orders' AS name, 100 AS score")(searched_tools(" query_orders "))
 
 # --- change log ------------------------------------------------------------------------------------------------
 
@@ -460,14 +493,7 @@ register("str_3_versions", f"SELECT 'events' AS entity, count(DISTINCT seq // 10
 @register("snk_2_applied", STATE)
 def applied(spark, sf_dir):
     """The log in three micro-batches, the second given twice, out of order."""
-    import tempfile
-
-    from pyspark.sql.types import StructType
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    import uuid
-
-    a = cdc.Applier(spark, f"{root}/applied-{uuid.uuid4().hex}", NS, "events", StructType.fromDDL(ROW), "user_id")
+    a = applier(spark)
     log = change_log(spark, sf_dir)
     for batch_id, third in enumerate((2, 0, 0, 1)):
         a.apply(log.where(col("seq") % 3 == third), min(batch_id, 1) if batch_id < 3 else 2)
@@ -492,7 +518,7 @@ register("str_12_due", "SELECT conv_id, count(*) AS entries, CAST(sum(length(coa
 register("m_1_sessions", "SELECT conv_id, len(list(turn)) AS n, string_agg(coalesce(text, ''), '|' ORDER BY turn) AS t FROM conversations GROUP BY conv_id")(
     lambda spark, sf_dir: memory.sessions(parquet(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.size("entries").cast("long").alias("n"), F.array_join(F.transform("entries", lambda e: F.coalesce(e["content"], F.lit(""))), "|").alias("t"))
 )
-register("m_3_summary_split", """SELECT conv_id, turn, CASE WHEN rn = 1 OR coalesce(newer, 0) < 0.4 * total THEN 'keep' ELSE 'summarise' END AS part FROM (
+register("m_3_summary_split", """SELECT conv_id, turn, CASE WHEN rn = 1 OR coalesce(newer, 0) < (total * 40) // 100 THEN 'keep' ELSE 'summarise' END AS part FROM (
 SELECT conv_id, turn, row_number() OVER w AS rn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newer,
 sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))""")(
     lambda spark, sf_dir: memory.summary_split(parquet(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "part")
@@ -542,9 +568,10 @@ register("t_8_latency", "SELECT event_type, count(*) AS n, round(quantile_cont(v
 )
 
 
-@register("t_1_tools", "SELECT * FROM (VALUES ('query_nation', 'nation'), ('get_nation_by_n_nationkey', 'nation'), ('filter_nation_by_n_name', 'nation')) t(name, entity)")
+@register("t_1_tools", """SELECT * FROM (VALUES ('query_nation', 'nation'), ('get_nation_by_n_nationkey', 'nation'), ('find_nation_by_n_regionkey_range', 'nation'), ('filter_nation_by_n_name', 'nation'),
+('query_part', 'part'), ('get_part_by_p_partkey', 'part'), ('find_part_by_p_size_range', 'part'), ('find_part_by_p_retailprice_range', 'part'), ('filter_part_by_p_brand', 'part'), ('filter_part_by_p_type', 'part'), ('search_part_by_text', 'part')) t(name, entity)""")
 def made_tools(spark, sf_dir):
-    return tools.catalogue(spark, tools.generate([catalog.NATION])).select("name", "entity")
+    return tools.catalogue(spark, tools.generate([catalog.NATION, catalog.PART])).select("name", "entity")
 
 
 @register("t_2_tool_call", "SELECT * FROM orders WHERE o_totalprice BETWEEN 1000 AND 20000 ORDER BY o_orderkey LIMIT 20")
@@ -553,6 +580,184 @@ def tool_call(spark, sf_dir):
     return tools.call(tools.find(made, "find_orders_by_o_totalprice_range"), {"min": 1000, "max": 20000}, lambda n: parquet(spark, sf_dir, n))
 
 
+# --- retries, replay, carried columns, errors and keys -----------------------------------------------------------
+
+
+def applier(spark: SparkSession, **options) -> cdc.Applier:
+    """Over a folder of its own, in the shared one; only a session of this process may have none."""
+    import tempfile
+    import uuid
+
+    from pyspark.sql.types import StructType
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return cdc.Applier(spark, f"{root}/applied-{uuid.uuid4().hex}", NS, "events", StructType.fromDDL(ROW), "user_id", **options)
+
+
+@register("str_5_retry", """SELECT CAST(event_id AS VARCHAR) AS "msgId", '3' AS "deliveryCount", CASE WHEN event_id % 101 = 0 THEN 'broken JSON' ELSE 'refused' END AS error
+FROM events WHERE event_id % 97 != 0 AND (event_id % 101 = 0 OR (event_type != 'error' AND value < 5 AND user_id % 2 = 0))""")
+def retried(spark, sf_dir):
+    """Changes of small values are refused; from the third batch on only those of odd users are let through."""
+    seen = []
+    a = applier(spark, check=lambda p: (col("op") == "d") | (col("after.value") >= 5) | ((col("after.user_id") % 2 == 1) & F.lit(len(seen) >= 2)))
+    log = change_log(spark, sf_dir)
+    for batch_id in range(4):
+        seen.append(batch_id)
+        a.apply(log.where(col("seq") % 2 == batch_id) if batch_id < 2 else log.limit(0), batch_id)
+    return a.dead().select("msgId", "deliveryCount", "error")
+
+
+@register("str_6_replay", "SELECT CAST(event_id AS VARCHAR) AS \"msgId\" FROM events WHERE event_id % 97 != 0 AND event_id % 101 = 0 ORDER BY event_id OFFSET 10")
+def replayed(spark, sf_dir):
+    """Of all broken changes, the ten oldest are mended and replayed; the others stay."""
+    a = applier(spark, attempts=1)
+    a.apply(change_log(spark, sf_dir), 0)
+    a.replay(1, most=10, mend=lambda c: F.regexp_replace(c, r"^\{\{", "{"))
+    return a.dead().select("msgId")
+
+
+@register("str_6_state", STATE.replace("AND event_id % 101 != 0", "AND (event_id % 101 != 0 OR event_id <= (SELECT max(event_id) FROM (SELECT event_id FROM events WHERE event_id % 97 != 0 AND event_id % 101 = 0 ORDER BY 1 LIMIT 10)))"))
+def replayed_state(spark, sf_dir):
+    a = applier(spark, attempts=1)
+    a.apply(change_log(spark, sf_dir), 0)
+    a.replay(1, most=10, mend=lambda c: F.regexp_replace(c, r"^\{\{", "{"))
+    return a.current()
+
+
+@register("str_10_carried", f"SELECT user_id, coalesce(CASE WHEN c_custkey % 4 != 0 THEN c_mktsegment END, event_type) AS event_type, value FROM ({STATE}) LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 != 0")
+def carried_applied(spark, sf_dir):
+    """Segments of customers are carried to their events as these are applied."""
+    parents = parquet(spark, sf_dir, "customer").where("c_custkey % 3 != 0").withColumn("c_mktsegment", F.when(col("c_custkey") % 4 != 0, col("c_mktsegment")))
+    a = applier(spark, carried=(cdc.Carried(lambda: parents, "user_id", "c_custkey", "c_mktsegment", "event_type"),))
+    a.apply(change_log(spark, sf_dir), 0)
+    return a.current()
+
+
+@register("str_10_spread", f"SELECT user_id, CASE WHEN c_custkey IS NOT NULL THEN c_mktsegment ELSE event_type END AS event_type, value FROM ({STATE}) LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0")
+def carried_spread(spark, sf_dir):
+    parents = parquet(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    a = applier(spark)
+    a.apply(change_log(spark, sf_dir), 0)
+    a.spread(parents, cdc.Carried(lambda: parents, "user_id", "c_custkey", "c_mktsegment", "event_type"), 1)
+    return a.current()
+
+
+GOVERNED = replace(catalog.SUPPLIER, tenant_field="s_nationkey")
+register("jn_2_governed", """SELECT n_nationkey AS source_key, 'supplier.s_nationkey' AS relation, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_nationkey = 7) AS total FROM nation""")(
+    lambda spark, sf_dir: relations.relation_counts(tables(spark, sf_dir, "nation") | {"supplier": (GOVERNED, parquet(spark, sf_dir, "supplier"))}, "nation", tenant="7")
+)
+
+
+def code_of(ask: Callable[[], object]) -> int:
+    """The error that a request ends with; 0 for none."""
+    from lodestone.plans.errors import RequestError
+
+    try:
+        ask()
+    except RequestError as e:
+        return e.code
+    return 0
+
+
+@register("flt_2_errors", """SELECT * FROM (VALUES ('unknown field', 1002), ('unknown filter', 1002), ('unknown sort', 1002), ('page too large', 1003), ('range without ends', 1003), ('not a date', 1003), ('no such row', 1001), ('no tenant', 1004), ('another tenant', 1005),
+('hidden filter', 1003), ('hidden sort', 1003), ('text on a tag', 1003), ('sum of a tag', 1003), ('too many groups', 1003), ('unknown policy', 1003), ('too many keys', 1003), ('hidden key', 1003), ('none', 0)) t(request, code)""")
+def errors(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "orders")
+    plan = lambda schema, **r: lambda: query.plan_query(schema, QueryRequest(NS, schema.entity, **r), t[schema.entity][1])
+    sums = lambda **r: lambda: aggregate.plan_aggregate(catalog.ORDERS, AggregateRequest(NS, "orders", **r), t["orders"][1], tables(spark, sf_dir, "customer"))
+    hidden = replace(catalog.ORDERS, tenant_field=None).with_field(FieldSchema("o_custkey", "LONG", True, related="customer", tags=frozenset({"secret"})))
+    asked = {
+        "unknown field": plan(catalog.ORDERS, fields=("nothing",)), "unknown filter": plan(catalog.ORDERS, filters={"nothing": 1}), "unknown sort": plan(catalog.ORDERS, sort_field="nothing"),
+        "page too large": lambda: QueryRequest(NS, "orders", page_size=201), "range without ends": lambda: RangeFilter("o_totalprice"), "not a date": lambda: plan(catalog.ORDERS, ranges=(RangeFilter("o_orderdate", "soon"),))(),
+        "no such row": lambda: query.lookup(catalog.ORDERS, QueryRequest(NS, "orders", {"o_orderkey": -1}), t["orders"][1]),
+        "no tenant": plan(TENANT), "another tenant": plan(TENANT, tenant="BUILDING", filters={"c_mktsegment": "MACHINERY"}),
+        "hidden filter": plan(MASKED, filters={"c_acctbal": 1}, tags=frozenset({"x"})), "hidden sort": plan(MASKED, sort_field="c_acctbal", tags=frozenset({"x"})), "text on a tag": plan(catalog.CUSTOMER, text={"c_name": "x"}),
+        "sum of a tag": sums(metrics=(("sum", "o_orderstatus"),)), "too many groups": lambda: AggregateRequest(NS, "orders", ("o_custkey",), limit=101), "unknown policy": lambda: AggregateRequest(NS, "orders", ("o_custkey",), unknown="maybe"),
+        "too many keys": lambda: aggregate.check_input_groups(sums(**ROLL_UP)(), 3), "hidden key": lambda: relations.forward({"orders": (hidden, t["orders"][1]), "customer": t["customer"]}, "orders", "o_custkey"), "none": plan(catalog.ORDERS),
+    }
+    return spark.createDataFrame([(k, code_of(f)) for k, f in asked.items()], "request string, code int")
+
+
+@register("flt_14_pushable", "SELECT * FROM (VALUES ('c_name', 'x', true), ('c_acctbal', '1.5', true), ('c_acctbal', 'x', false), ('nothing', '1', false), ('props', 'x', false), ('c_name', '[x, y]', true), ('c_acctbal', '[1, 2]', false), ('c_name', '[]', false)) t(field, value, pushable)")
+def pushables(spark, sf_dir):
+    from lodestone.operators.filters import pushable
+
+    find = lambda f: catalog.EVENTS.find(f) if f == "props" else catalog.CUSTOMER.find(f)
+    asked = [("c_name", "x"), ("c_acctbal", "1.5"), ("c_acctbal", "x"), ("nothing", "1"), ("props", "x"), ("c_name", ["x", "y"]), ("c_acctbal", [1, 2]), ("c_name", [])]
+    shown = lambda v: f"[{', '.join(map(str, v))}]" if isinstance(v, list) else v
+    return spark.createDataFrame([(f, shown(v), pushable(find(f), v)) for f, v in asked], "field string, value string, pushable boolean")
+
+
+@register("fn_13_instants", """SELECT * FROM (VALUES ('2024-01-03', false, epoch_ms(TIMESTAMP '2024-01-03')), ('2024-01-03', true, epoch_ms(TIMESTAMP '2024-01-03 23:59:59.999')), ('2024-01-03T12:00:00+08:00', false, epoch_ms(TIMESTAMP '2024-01-03 04:00:00')),
+('2024-01-03T12:00:00', true, epoch_ms(TIMESTAMP '2024-01-03 12:00:00')), ('2024-02-29T00:00:00Z', false, epoch_ms(TIMESTAMP '2024-02-29')), ('1700000000000', false, CAST(1700000000000 AS BIGINT))) t(literal, upper_end, millis)""")
+def instants(spark, sf_dir):
+    from lodestone.plans.requests import to_epoch_ms
+
+    asked = [("2024-01-03", False), ("2024-01-03", True), ("2024-01-03T12:00:00+08:00", False), ("2024-01-03T12:00:00", True), ("2024-02-29T00:00:00Z", False), ("1700000000000", False)]
+    return spark.createDataFrame([(t, up, int(to_epoch_ms(t, up))) for t, up in asked], "literal string, upper_end boolean, millis bigint")
+
+
+@register("fn_12_canonical", "SELECT * FROM (VALUES ('order of filters', true), ('order of values', true), ('case of words', false), ('page', false), ('meaning', true), ('exact', false)) t(difference, same)")
+def canonicals(spark, sf_dir):
+    from lodestone.plans.requests import canonical
+
+    r = lambda **more: QueryRequest(NS, "orders", **more)
+    key = lambda q, **more: canonical(q, catalog.ORDERS, **more)
+    pairs = {
+        "order of filters": (key(r(filters={"o_custkey": 1, "o_orderstatus": "F"})), key(r(filters={"o_orderstatus": "F", "o_custkey": 1}))),
+        "order of values": (key(r(filters={"o_custkey": [1, 2]})), key(r(filters={"o_custkey": [2, 1]}))),
+        "case of words": (key(r(filters={"o_orderstatus": "F"})), key(r(filters={"o_orderstatus": "f"}))),
+        "page": (key(r(page=1)), key(r(page=2))),
+        "meaning": (key(r(filters={"o_orderstatus": "F"}), semantic=True), key(r(filters={"o_orderstatus": "O"}), semantic=True)),
+        "exact": (key(r(filters={"o_orderstatus": "F"})), key(r(filters={"o_orderstatus": "O"}))),
+    }
+    return spark.createDataFrame([(k, a == b) for k, (a, b) in pairs.items()], "difference string, same boolean")
+
+
+@register("c_1_exact_cache", "SELECT * FROM (VALUES ('first', 1), ('again', 1), ('other order', 1), ('fresh', 2), ('after fresh', 2), ('expired', 3), ('fresh word', 4), ('dropped', 5)) t(step, runs)")
+def exact_cache(spark, sf_dir):
+    now, runs, out = [0.0], [], []
+    c = cache.ExactCache(clock=lambda: now[0])
+    ask = lambda fresh=False, **filters: c.through(QueryRequest(NS, "orders", filters, fresh=fresh), lambda q: runs.append(q) or [len(runs)])
+    for step, do in {
+        "first": lambda: ask(a=1, b=2), "again": lambda: ask(a=1, b=2), "other order": lambda: ask(b=2, a=1), "fresh": lambda: ask(True, a=1, b=2), "after fresh": lambda: ask(a=1, b=2),
+        "expired": lambda: (now.__setitem__(0, 61.0), ask(a=1, b=2)), "fresh word": lambda: ask(a="最新"), "dropped": lambda: (c.invalidate("orders"), ask(a=1, b=2)),
+    }.items():
+        do()
+        out.append((step, len(runs)))
+    return spark.createDataFrame(out, "step string, runs int")
+
+
+@register("c_2_semantic_cache", "SELECT * FROM (VALUES ('same words', true), ('other hard part', false), ('no string', false), ('far', false), ('reindexed', true), ('dropped', false)) t(step, hit)")
+def semantic_cache(spark, sf_dir):
+    c = cache.SemanticCache(embed=lambda s: tx.embed_tokens(s.lower().split()), clock=lambda: 0.0)
+    r = lambda **filters: QueryRequest(NS, "customer", filters)
+    got = lambda **filters: c.get(r(**filters), catalog.CUSTOMER) is not None
+    c.put(r(c_name="big red customer", c_nationkey=3), catalog.CUSTOMER, [{"c_custkey": 1}])
+    out = [("same words", got(c_name="Big red customer", c_nationkey=3)), ("other hard part", got(c_name="big red customer", c_nationkey=4)), ("no string", got(c_nationkey=3)), ("far", got(c_name="tiny blue one", c_nationkey=3))]
+    c.fingerprint = "next"
+    assert not got(c_name="big red customer", c_nationkey=3) and c.reindex() == {"scanned": 1, "skipped": 0, "migrated": 1, "failed": 0}
+    out.append(("reindexed", got(c_name="big red customer", c_nationkey=3)))
+    assert c.invalidate("customer") == 1
+    out.append(("dropped", got(c_name="big red customer", c_nationkey=3)))
+    return spark.createDataFrame(out, "step string, hit boolean")
+
+
+@register("lim_3_trim", "SELECT * FROM (VALUES (10, 10, false), (80, 50, true), (0, 0, false)) t(given, shown, told)")
+def trimmed(spark, sf_dir):
+    rows = [r.asDict() for r in parquet(spark, sf_dir, "nation").orderBy("n_nationkey").limit(10).collect()] * 8
+    out = [(n, len(kept), told is not None) for n in (10, 80, 0) for kept, told in [query.trim(rows[:n])]]
+    return spark.createDataFrame(out, "given int, shown int, told boolean")
+
+
+register("m_5_semantic", f"SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 4) AS score FROM embeddings, {VECTOR} WHERE label = 2 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 10")(
+    lambda spark, sf_dir: memory.search(parquet(spark, sf_dir, "embeddings").select(col("vec_id").alias("id"), F.lit("").alias("content"), col("label").cast("string").alias("owner"), col("embedding").alias("vector")), "x", vector(spark, sf_dir), "SEMANTIC", "2").select("id", F.round("score", 4).alias("score"))
+)
+
 # --- the flagship ----------------------------------------------------------------------------------------------
 
 
@@ -562,3 +767,6 @@ def flagship(spark, sf_dir):
     schema, df = tables(spark, sf_dir, "orders")["orders"]
     request = AggregateRequest(NS, "orders", ("o_custkey->customer.c_mktsegment",), (("count",), ("sum", "o_totalprice")), ranges=(RangeFilter("o_orderdate", "1996-01-01", "1996-12-31"),), sort_by="sum_o_totalprice", limit=10)
     return aggregate.plan_aggregate(schema, request, df, tables(spark, sf_dir, "customer")).rows.withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
+ORACLES.update({name: sql() for name, sql in LATER.items()})

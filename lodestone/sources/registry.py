@@ -156,19 +156,26 @@ def generate(namespace: str, tables: dict[str, DataFrame], keys: dict[str, str],
 
 
 def infer_keys(tables: dict[str, DataFrame], keys: dict[str, str], constraints: dict[tuple[str, str], str] | None = None) -> list[tuple[str, str, str, str]]:
-    """(entity, field, target, confidence): explicit; high if one other table's key has the name, without prefixes
-    such as ``o_``; low if several have."""
+    """(entity, field, target, confidence). Explicit ones come from constraints. ``<base>_id`` leads to the table
+    ``<base>``, or else to the shortest one named ``.._<base>``; it is low if several are so named. Where keys have
+    other names, a column leads to the table whose key has its name, both without prefixes such as ``o_``."""
     plain = lambda n: n.split("_", 1)[1] if "_" in n and len(n.split("_", 1)[0]) <= 2 else n
     targets: dict[str, list[str]] = {}
     for entity, key in keys.items():
         targets.setdefault(plain(key), []).append(entity)
+    shortest = lambda found: min(found, key=lambda t: (len(t), t))
     out = []
     for entity, df in sorted(tables.items()):
         for name in df.columns:
+            base = name.removesuffix("_id") if name.endswith("_id") and len(name) > 3 else None
+            named = [t for t in tables if t.endswith(f"_{base}")] if base else []
+            alike = [t for t in targets.get(plain(name), []) if t != entity] if name != keys[entity] and plain(name) != "id" else []
             if target := (constraints or {}).get((entity, name)):
                 out.append((entity, name, target, "explicit"))
-            elif name != keys[entity] and (found := [t for t in targets.get(plain(name), []) if t != entity]):
-                out += [(entity, name, min(found, key=lambda t: (len(t), t)), "high" if len(found) == 1 else "low")]
+            elif base in tables and (base, name) != (entity, keys[entity]):
+                out.append((entity, name, base, "high"))
+            elif found := named or alike:
+                out.append((entity, name, shortest(found), "high" if len(found) == 1 else "low"))
     return out
 
 

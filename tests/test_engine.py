@@ -68,7 +68,7 @@ def put(op, i, v):
 
 
 def test_applier(spark, tmp_path):
-    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id")
+    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id", attempts=1)
     a.apply(log(spark, put("c", 1, "a"), put("c", 2, "b"), "", "{broken", '{"op":"u"}', put("x", 9, "z")), 0)
     a.apply(log(spark, put("u", 1, "c"), put("d", 2, ""), first=10), 1)
     a.apply(log(spark, put("u", 1, "late"), first=5), 2)
@@ -80,7 +80,7 @@ def test_applier(spark, tmp_path):
 
 
 def test_replay_keeps_all_other_letters(spark, tmp_path, monkeypatch):
-    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id")
+    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id", attempts=1)
     a.apply(spark.range(100_250).select(F.col("id").alias("seq"), F.lit("{broken").alias("body")), 0)
     a.apply(log(spark, "{twin", "{twin").withColumn("seq", F.lit(7)), 1)
     mend = lambda c: F.lit(put("c", 7, "mended"))
@@ -97,6 +97,100 @@ def test_replay_keeps_all_other_letters(spark, tmp_path, monkeypatch):
     assert a.replay(4, most=10**6, mend=mend) == 100_243 and a.dead() is None
 
 
+def test_failures_are_tried_again(spark, tmp_path):
+    """A row whose parent hasn't arrived is applied once it has; a broken body is dead after three tries, with its cause."""
+    parents = []
+    known = lambda: spark.createDataFrame([(p,) for p in parents], "v string")
+    here = lambda parsed: (F.col("op") == "d") | F.col("after.v").isin([*parents, "-"])
+    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", ROW, "id", check=here)
+    parents.append("p")
+    a.apply(log(spark, put("c", 1, "p"), put("c", 2, "q"), put("c", 3, "never"), "{broken"), 0)
+    assert [tuple(r) for r in a.current().collect()] == [(1, "p")] and a.dead() is None and a.pending().count() == 3
+    parents.append("q")
+    a.apply(log(spark, put("c", 4, "p"), first=10), 1)
+    assert sorted(tuple(r) for r in a.current().collect()) == [(1, "p"), (2, "q"), (4, "p")] and a.dead() is None
+    a.apply(log(spark, first=20), 2)
+    a.apply(log(spark, first=20), 3)
+    assert sorted((r["msgId"], r["deliveryCount"], r["error"]) for r in a.dead().collect()) == [("2", "3", "refused"), ("3", "3", "broken JSON")]
+    assert a.pending().count() == 0 and known().count() == 2 and a.done() == [0, 1, 2, 3]
+
+
+def test_carried_columns_are_applied_and_spread(spark, tmp_path):
+    rows = T.StructType([T.StructField("id", T.LongType()), T.StructField("fk", T.LongType()), T.StructField("name", T.StringType())])
+    of = {1: "one", 2: None}
+    carried = cdc.Carried(lambda: spark.createDataFrame(list(of.items()), "pk bigint, label string"), "fk", "pk", "label", "name")
+    a = cdc.Applier(spark, f"file://{tmp_path}", NS, "t", rows, "id", carried=(carried,))
+    child = lambda i, fk, name: f'{{"op":"c","after":{{"id":{i},"fk":{fk},"name":"{name}"}}}}'
+    a.apply(log(spark, child(10, 1, "own"), child(11, 2, "own"), child(12, 9, "own"), child(13, "null", "own")), 0)
+    assert {r["id"]: r["name"] for r in a.current().collect()} == {10: "one", 11: "own", 12: "own", 13: "own"}
+    a.spread(spark.createDataFrame([(1, None), (9, "nine")], "pk bigint, label string"), carried, 1)
+    assert {r["id"]: r["name"] for r in a.current().collect()} == {10: None, 11: "own", 12: "nine", 13: "own"} and a.version() == 2
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai", "America/New_York"])
+def test_instants_without_a_zone_are_in_utc(spark, zone):
+    """In any session: filters of days, and milliseconds."""
+    from lodestone.catalog import EVENTS
+    from lodestone.plans.requests import RangeFilter
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        ask = QueryRequest(NS, "events", ranges=(RangeFilter("ts", "2024-01-03", "2024-01-05"),))
+        got = plan_query(EVENTS, ask, events).matched
+        assert got.count() == events.where("ts >= timestamp_ntz'2024-01-03' and ts < timestamp_ntz'2024-01-06'").count() > 0
+        assert "timestamp" not in {t for _, t in events.dtypes} and "ts" in str(got._jdf.queryExecution().executedPlan())
+        one = events.select(tx.normalize_scalar(F.lit(None).cast("timestamp_ntz"), "timestamp_ntz").alias("n"), tx.normalize_scalar(F.expr("timestamp_ntz'2024-03-10 02:30:01.250'"), "timestamp_ntz").alias("t")).first()
+        assert (one["n"], one["t"]) == (None, "1710037801250")
+        old = events.select(tx.normalize_scalar(F.expr("timestamp_ntz'1969-12-31 23:59:59.500'"), "timestamp_ntz").alias("t")).first()
+        assert old["t"] == "-500"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_values_are_equal_as_numbers_only_if_they_are(spark):
+    pairs = [("1", "1.00", True), ("0.12345678901", "0.12345678902", False), ("9007199254740993", "9007199254740992", False), ("1e3", "1000", True), ("a", "a", True), ("a", "1", False), (None, None, True), (None, "1", False), ("1e-30", "2e-30", False)]
+    got = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(tx.values_equal(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [r["e"] for r in got] == [p[2] for p in pairs]
+
+
+def test_counts_of_relations_are_governed(spark):
+    from dataclasses import replace
+
+    from lodestone.catalog import NATION, SUPPLIER
+    from lodestone.operators import relations
+    from lodestone.plans.schema import FieldSchema
+
+    nation, supplier = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("nation", "supplier"))
+    tenant = {"nation": (NATION, nation), "supplier": (replace(SUPPLIER, tenant_field="s_name"), supplier)}
+    with pytest.raises(RequestError):
+        relations.relation_counts(tenant, "nation")
+    name = supplier.first()["s_name"]
+    counted = relations.relation_counts(tenant, "nation", tenant=name).agg(F.sum("total")).first()[0]
+    assert counted == supplier.where(F.col("s_name") == name).count()
+    hidden = SUPPLIER.with_field(FieldSchema("s_nationkey", "INT", True, related="nation", tags=frozenset({"secret"})))
+    for ask in (lambda t: relations.relation_counts(t, "nation"), lambda t: relations.reverse(t, "nation", "supplier", "s_nationkey"), lambda t: relations.forward(t, "supplier", "s_nationkey")):
+        with pytest.raises(RequestError):
+            ask({"nation": (NATION, nation), "supplier": (hidden, supplier)})
+
+
+def test_embeddings_in_the_jvm_are_those_of_the_column(spark):
+    texts = spark.createDataFrame([(1, "Ab 12 ab"), (2, "日本 x"), (3, "é"), (4, " "), (5, None), (6, "a,b\nc")], "id int, t string")
+    wide = {(r["id"], s): round(x, 9) for r in texts.select("id", tx.bm25_embed(F.col("t")).alias("v")).collect() for s, x in enumerate(r["v"]) if x}
+    assert wide == {(r["id"], r["slot"]): round(r["x"], 9) for r in tx.bm25_entries(texts, "id", "t").collect()}
+    assert texts.where("id = 1").select(tx.embed_terms(F.col("t")).alias("t")).first()["t"] == ["ab", "12", "ab", " 1", " a"]
+    assert texts.where("id = 2").select(tx.embed_terms(F.col("t")).alias("t")).first()["t"] == ["x", "日本", "本 ", " x"]
+
+
+def test_keys_are_inferred_from_names(spark):
+    from lodestone.sources import registry
+
+    made = {n: spark.createDataFrame([], f"id bigint, {c} bigint") for n, c in {"shop_order": "member_id", "crm_member": "id2", "old_crm_member": "order_id", "member_level": "shop_order_id"}.items()}
+    got = registry.infer_keys(made, {n: "id" for n in made}, {("crm_member", "id2"): "member_level"})
+    assert got == [("crm_member", "id2", "member_level", "explicit"), ("member_level", "shop_order_id", "shop_order", "high"), ("old_crm_member", "order_id", "shop_order", "high"), ("shop_order", "member_id", "crm_member", "low")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [put("c", i % 5, f"v{i}") if i % 7 else put("d", i % 5, "") for i in range(40)]
     for k in range(3):
@@ -118,7 +212,7 @@ def test_llm_cache_reasons(spark):
     assert reason == "hit" and hit["entry_id"] == 1
     assert ask("orders during 2022", [1.0, 0.05])[0] == "no-match"
     assert ask("anything", None)[0] == "no-embedder" and ask("anything", [0.0, 0.0])[0] == "empty-vector"
-    assert ask("orders today", None)[0] == "fresh-keyword" and ask("x", None, bypass=True)[0] == "bypass"
+    assert ask("今天 orders", None)[0] == "fresh-keyword" and ask("orders today", None)[0] == "no-embedder" and ask("x", None, bypass=True)[0] == "bypass"
     assert ask("orders during 2024", [1.0, 0.05], reranker=lambda a, b: 0.1)[0] == "no-match"
 
 
