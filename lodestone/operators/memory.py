@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import bm25_embed, lex_text, memory_hash
-from lodestone.functions.vectors import cosine
 from lodestone.operators import topk
 from lodestone.plans.errors import invalid
 
 KEEP_PERCENT, SUMMARY_CHARS, SUMMARY_ENTRIES, EXTRACT_EVERY = 40, 8000, 2, 6
+#: Vectors that a block of a comparison holds.
+BLOCK = 4096
 CHANNEL, DEFAULT_LIMIT, MOST_LIMIT, DEDUP_COSINE = 12, 10, 50, 0.85
 
 
@@ -90,30 +93,36 @@ def contains(memories: DataFrame, text: str, at: str, k: int) -> DataFrame:
 def dedup(new: DataFrame, stored: DataFrame, threshold: float = DEDUP_COSINE) -> DataFrame:
     """New memories that are neither stored already, by content hash, nor close to a stored one of the same owner.
 
-    Vectors are compared within an owner, and, as unit vectors that share no slot have cosine 0, only where they share
-    their heaviest slots: a cosine of at least t needs overlap in a prefix of slots that holds 1 - t**2 of the square
-    norm. The comparison itself is exact.
+    The new ones are a query set that is held against all stored rows of their owner, exactly: both are cut into blocks
+    of at most about BLOCK rows, by owner and a hash of the id, and each pair of blocks is one product of matrices.
+    Vectors of another length, or without any, are close to nothing.
     """
     fresh = new.join(stored.select("owner", "memory_hash"), ["owner", "memory_hash"], "left_anti").dropDuplicates(["owner", "memory_hash"])
-    heavy = lambda df: df.select("id", "owner", "vector", F.explode(prefix(F.col("vector"), threshold)).alias("slot"))
-    every = lambda df: df.select("id", "owner", "vector", F.posexplode("vector").alias("slot", "x")).where("x != 0").drop("x")
-    a, b = heavy(fresh).alias("a"), every(stored).alias("b")
-    near = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.owner") == F.col("b.owner"))).where(cosine(F.col("a.vector"), F.col("b.vector")) >= threshold).select(F.col("a.id").alias("id")).distinct()
+    cuts = lambda df, name: df.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = cuts(fresh, "a").join(cuts(stored, "b"), "owner")
+    own = lambda df: df.select("id", "owner", F.col("vector").cast("array<double>").alias("vector")).join(sizes, "owner")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = own(fresh).select("id", "owner", "vector", block("a").alias("i"), every("b").alias("j"), F.lit(True).alias("asked"))
+    known = own(stored).select("id", "owner", "vector", every("a").alias("i"), block("b").alias("j"), F.lit(False).alias("asked"))
+    kind = dict(fresh.dtypes)["id"]
+    near = asked.unionByName(known).groupBy("owner", "i", "j").applyInArrow(lambda t: _close(t, threshold), f"id {kind}").distinct()
     return fresh.join(near, "id", "left_anti")
 
 
-def prefix(vector: Column, threshold: float) -> Column:
-    """Slots of the largest entries, until the rest's square norm is below threshold**2: without any of them in common
-    the cosine stays below the threshold."""
-    parts = F.transform(vector, lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("i")))
-    order = F.array_sort(F.filter(parts, lambda p: p["o"] != 0))
-    total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    taken = F.aggregate(
-        order,
-        F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("slots")),
-        lambda s, p: F.struct(
-            (s["mass"] + p["o"] * p["o"]).cast("double").alias("mass"),
-            F.when(total - s["mass"] >= F.lit(threshold**2 - 1e-9) * total, F.concat(s["slots"], F.array(p["i"].cast("int")))).otherwise(s["slots"]).alias("slots"),
-        ),
-    )
-    return taken["slots"]
+def _close(rows: pa.Table, threshold: float) -> pa.Table:
+    """Ids of asked rows with a known one within the threshold."""
+    kept = []
+    asked = np.asarray(rows.column("asked").combine_chunks().cast(pa.int8())) > 0
+    vectors = rows.column("vector").combine_chunks()
+    length = np.asarray(vectors.value_lengths().fill_null(0))
+    for n in np.unique(length[asked]):
+        if n:
+            of = np.flatnonzero(length == n)
+            m = np.asarray(vectors.take(pa.array(of)).flatten().fill_null(0.0)).reshape(len(of), n)
+            norm = np.sqrt((m * m).sum(axis=1))
+            unit = m / np.where(norm > 0, norm, 1)[:, None]
+            mine = asked[of]
+            if (~mine).any():
+                kept += of[np.flatnonzero(mine)[(unit[mine] @ unit[~mine].T).max(axis=1) >= threshold]].tolist()
+    return pa.table({"id": rows.column("id").take(pa.array(kept, pa.int64()))})

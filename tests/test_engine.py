@@ -227,3 +227,20 @@ def test_entry_without_the_optional_parts(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dedup_of_memories_is_exact_in_blocks(spark, monkeypatch):
+    import random
+
+    from lodestone.functions.vectors import cosine
+
+    monkeypatch.setattr(memory, "BLOCK", 7)
+    pick = random.Random(3)
+    vec = lambda: [pick.gauss(0, 1) for _ in range(4)]
+    rows = [(i, f"o{i % 3}", f"h{i if i != 5 else 6}", vec() if i % 11 else ([0.0] * 4 if i % 2 else [1.0])) for i in range(120)]
+    both = spark.createDataFrame(rows, "id int, owner string, memory_hash string, vector array<double>")
+    new, stored = both.where("id % 4 = 0"), both.where("id % 4 != 0")
+    got = {r["id"] for r in memory.dedup(new, stored, 0.8).collect()}
+    a, b = new.alias("a"), stored.alias("b")
+    near = a.join(b, (F.col("a.owner") == F.col("b.owner")) & ((cosine(F.col("a.vector"), F.col("b.vector")) >= 0.8) | (F.col("a.memory_hash") == F.col("b.memory_hash")))).select("a.id").distinct()
+    assert got == {r["id"] for r in new.select("id").subtract(near).collect()} and 0 < len(got) < new.count()
