@@ -8,7 +8,7 @@ block of one that some rolling window of the other equals. All windows probe all
    and all others probe it. Hits mark a place in either document.
 2. extension: around hits, and only there, the hashes of the 50-word windows are dealt in the same way, and
    each window learns the smallest document it starts in. Windows that overlap join to maximal repeats. Here
-   windows are equal if two independent hashes, of 128 bits together, are, so that no chance match is to be
+   windows are equal if two independent hashes, of 96 bits together, are, so that no chance match is to be
    expected at any size; anchors are only places to look at.
 3. removal: words that such windows cover are cut from all documents but the smallest of each window.
 
@@ -43,7 +43,7 @@ BUFFER_BYTES = 8 << 20
 LEAST_PARTS = 64
 #: Ranges of hashes that buffers deal to at once.
 FAN = 4096
-#: Of the two hashes that tell windows apart.
+#: Of the two hashes that tell windows apart, of 64 bits and of 32.
 SEEDS = (0, 0x5851F42D4C957F2D)
 DEALT = "part int, found binary, id bigint"
 
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = scratch.save(settle(valid, _anchors, parts, (4,), _probe), "anchors")
     scratch.release()
     near = valid.join(anchors, "id").select("id", "text", "found")
-    repeats = scratch.save(settle(near, _windows, parts, (8, 8), _extend), "repeats")
+    repeats = scratch.save(settle(near, _windows, parts, (8, 4), _extend), "repeats")
     scratch.drop("anchors")
     scratch.release()
     result = "id bigint, n_words bigint, n_removed bigint, removed array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept_text string"
