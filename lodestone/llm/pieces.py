@@ -8,18 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 4 << 20
 
 
-def batches(texts: list, most: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``most`` characters together, null as empty; a longer one is alone."""
+def batches(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``most`` bytes together, with the place of the first, null as empty; a longer one is
+    alone. Only these are Python strings at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    ends = np.cumsum(sizes)
     a = 0
     while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b] or "") <= most):
-            size += len(texts[b] or "")
-            b += 1
-        yield a, [t or "" for t in texts[a:b]]
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right")))
+        yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
         a = b
 
 

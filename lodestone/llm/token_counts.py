@@ -182,10 +182,9 @@ def merger(path: str) -> Merger:
 def _count(batches, path: str):
     counter = merger(path)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
         counts: list[int] = []
         sizes: list[int] = []
-        for _, part in batches_of(texts):
+        for _, part in batches_of(batch.column(1)):
             counts += counter.count(part)
             sizes += [len(t.encode()) for t in part]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.pieces import batches as batches_of
 from lodestone.llm.pieces import ragged, split
 from lodestone.llm.recall import Recall
+from lodestone.llm.scratch import Scratch
 from lodestone.llm.worker import lean
 
 #: Distinct pieces whose ids a generation of a Python worker's memory holds.
@@ -103,7 +104,7 @@ FILE = "doc_id bigint, place int, ids array<int>"
 def _encode(batches, path: str, end_id: int):
     model, place = encoder(path), 0
     for batch in batches:
-        for a, texts in batches_of(batch.column(1).to_pylist()):
+        for a, texts in batches_of(batch.column(1)):
             ids, counts = model.encode(texts)
             ends = np.cumsum(counts)
             values = np.insert(ids.astype(np.int32), ends, end_id)
@@ -163,6 +164,8 @@ def digest_orc(spark: SparkSession, path: str) -> DataFrame:
     number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     rows = read_orc(spark, path).select("doc_id", "place", number.alias("file"), "ids")
     rows = rows.mapInArrow(_digest, "doc_id bigint, place int, file bigint, n_tokens bigint, ids_crc32 bigint")
+    # written, so that the files are read once for sums and places
+    rows = Scratch(spark, "token-digests").save(rows, "rows")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file", F.lit(0).cast("long").alias("before"))
     for level in range(3):
