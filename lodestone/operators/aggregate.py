@@ -13,9 +13,6 @@ from lodestone.plans.errors import invalid
 from lodestone.plans.requests import MOST_INPUT_GROUPS, UNKNOWN, AggregateRequest, Metric
 from lodestone.plans.schema import EntitySchema
 
-#: Rows of a dimension up to which its lookup is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Aggregated:

@@ -196,5 +196,35 @@ def storable(prompt: str, response: str) -> bool:
     return bool(prompt and response) and len(prompt) + len(response) <= MOST_CHARS
 
 
+def stored(entries: DataFrame, new: DataFrame, now: Column, keep: int = CAPACITY) -> DataFrame:
+    """The cache of model answers after a write: (entry_id, prompt, response, expires, ..). New entries replace those of
+    their prompt, unless they are too long or empty; the expired go, and of more than ``keep`` those that expire first."""
+    fits = new.where((F.char_length(F.coalesce("prompt", F.lit(""))) > 0) & (F.char_length(F.coalesce("response", F.lit(""))) > 0) & (F.char_length("prompt") + F.char_length("response") <= MOST_CHARS))
+    kept = entries.join(fits.select("prompt"), "prompt", "left_anti").unionByName(fits)
+    return evict(alive(kept, "expires", now), "expires", keep, "entry_id")
+
+
+def cleared(entries: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """The cache without the prompts named; without any, nothing of it."""
+    return entries.limit(0) if prompts is None else entries.join(prompts.select(F.col(prompts.columns[0]).alias("prompt")), "prompt", "left_anti")
+
+
+def expanded(prompt: str, ask: Callable[[str], list], paraphrase: Callable[[str], list[str]] | None = None, mode: str = "off", most: int = 3) -> list:
+    """Answers to a prompt, and, with ``always`` or where there are none with ``on-miss``, to paraphrases of it, each
+    once, in the order found. A paraphraser that fails adds nothing."""
+    if mode not in ("off", "on-miss", "always"):
+        raise invalid(f"unknown mode {mode}")
+    found = list(ask(prompt))
+    if paraphrase is None or mode == "off" or (mode == "on-miss" and found):
+        return found
+    try:
+        others = [p for p in dict.fromkeys(paraphrase(prompt)) if p and p != prompt][:most]
+    except Exception:  # a model elsewhere may fail in any way
+        return found
+    for p in others:
+        found += [a for a in ask(p) if a not in found]
+    return found
+
+
 def stats(hits: int, misses: int) -> dict:
     return {"hits": hits, "misses": misses, "hitRate": hits / (hits + misses) if hits + misses else 0.0}

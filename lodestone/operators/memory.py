@@ -26,6 +26,40 @@ def sessions(turns: DataFrame, session: str, seq: str, content: str) -> DataFram
     return turns.groupBy(session).agg(entries.alias("entries"))
 
 
+def written(log: DataFrame, session: str, seq: str, content: str, op: str, at: str, ttl: Column | None = None, now: Column | None = None) -> DataFrame:
+    """The entries that a log of writes leaves: (session, seq, content). ``op`` is append, edit, delete or clear, which
+    drops all that was written to the session before; ``at`` orders the writes. An edit or delete of an entry that isn't
+    there changes nothing. With a time to live, a session ends that long after its last write."""
+    last = log.groupBy(session).agg(F.max(F.when(F.col(op) == "clear", F.col(at))).alias("__cleared"), F.max(at).alias("__touched"))
+    live = log.where(F.col(op) != "clear").join(last, session).where(F.col("__cleared").isNull() | (F.col(at) > F.col("__cleared")))
+    if ttl is not None:
+        live = live.where(F.col("__touched") + ttl > now)
+    # what an entry is depends on its writes from the last append on
+    best = F.max(F.when(F.col(op) == "append", F.col(at))).alias("__began")
+    began = live.groupBy(session, seq).agg(best).where("__began is not null")
+    writes = live.join(began, [session, seq]).where(F.col(at) >= F.col("__began"))
+    state = writes.groupBy(session, seq).agg(F.max_by(F.struct(F.col(op).alias("op"), F.col(content).alias("content")), at).alias("w"), F.max((F.col(op) == "delete").cast("int")).alias("gone"))
+    return state.where("gone = 0").select(session, seq, F.col("w.content").alias(content))
+
+
+def extract(turns: DataFrame, session: str, seq: str, content: str, strategy: str | Callable[[Column], Column] = "discrete") -> DataFrame:
+    """(session, fact): facts of a session's text by a strategy, each once. A strategy is a column function of the joined
+    text that gives an array, such as one that calls a model; ``discrete`` takes sentences, ``summary`` the whole text
+    and ``preferences`` sentences that state one."""
+    sentences = lambda t: F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    known = {
+        "discrete": sentences,
+        "summary": lambda t: F.filter(F.array(F.trim(t)), lambda s: s != ""),
+        "preferences": lambda t: F.filter(sentences(t), lambda s: s.rlike(r"(?i)\b(prefer|like|love|hate|want|favou?rite)")),
+    }
+    if isinstance(strategy, str) and strategy not in known:
+        raise invalid(f"unknown strategy {strategy}")
+    made = known[strategy] if isinstance(strategy, str) else strategy
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(content), F.lit("")).alias("content"))))
+    text = turns.groupBy(session).agg(F.array_join(F.transform(ordered, lambda e: e["content"]), "\n").alias("text"))
+    return text.select(session, F.explode(F.array_distinct(made(F.col("text")))).alias("fact"))
+
+
 def summary_split(turns: DataFrame, session: str, seq: str, content: str, percent: int = KEEP_PERCENT) -> DataFrame:
     """Adds part: the newest entries are kept until they hold ``percent`` of the session's characters, in whole
     characters, and at least one is; the older ones are to be summarised."""
@@ -52,6 +86,14 @@ def summarise(turns: DataFrame, session: str, seq: str, content: str, summariser
     return g.select(session, (summariser or (lambda c: c))(F.col("old")).alias("summary"), "kept")
 
 
+def forget(memories: DataFrame, ids: DataFrame, owner: str | None = None) -> DataFrame:
+    """The memories without those named; an owner can forget no other's."""
+    gone = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    if owner is not None:
+        gone = gone.join(memories.where(F.col("owner") == owner).select("id"), "id", "left_semi")
+    return memories.join(gone, "id", "left_anti")
+
+
 def remembered(rows: DataFrame, id_col: str, content: str, owner: Column | None = None, kind: str = "note") -> DataFrame:
     """Long-term rows with their derived columns: hash, lexical text and vector are written with the row."""
     own = F.lit("default") if owner is None else F.coalesce(owner, F.lit("default"))

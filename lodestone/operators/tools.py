@@ -9,10 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.aggregate import check_input_groups, plan_aggregate
 from lodestone.operators.query import Plan, lookup, plan_query
-from lodestone.plans.errors import NOT_FOUND, RequestError, invalid
-from lodestone.plans.requests import QueryRequest, RangeFilter
+from lodestone.operators.relations import bundle
+from lodestone.plans.errors import NOT_FOUND, UNAUTHORISED, RequestError, invalid
+from lodestone.plans.requests import AggregateRequest, QueryRequest, RangeFilter
 from lodestone.plans.schema import EntitySchema
+from lodestone.sources.registry import describe
 
 PER_ENTITY, LIMIT, MOST = 8, 8, 20
 #: What a word of a search is worth where it equals or occurs in a tool's text; the best place counts.
@@ -118,6 +121,78 @@ def find(tools: list[Tool], name: str) -> Tool:
     raise RequestError(NOT_FOUND, name)
 
 
+def writable(tags: frozenset[str] | None, operator_tag: str = "operator") -> None:
+    """Refuses writes to callers who aren't operators."""
+    if not tags or not tags & {operator_tag, "*"}:
+        raise RequestError(UNAUTHORISED, f"needs the tag {operator_tag}")
+
+
+class Toolbox:
+    """Tools that exist whatever the schemas are, as functions by name, over tables that ``read`` gives by entity.
+    Writes go through ``writable``."""
+
+    def __init__(self, schemas: list[EntitySchema], read: Callable[[str], DataFrame], spark: SparkSession):
+        self.schemas, self.read, self.spark = {s.entity: s for s in schemas}, read, spark
+        self.made = generate(schemas)
+        self.known = {
+            "list_entities": self.list_entities, "describe_entity": self.describe_entity, "query_entity": self.query_entity, "get_entity": self.get_entity, "aggregate_entity": self.aggregate_entity,
+            "related_entities": self.related_entities, "find_tools": self.find_tools, "call_tool": self.call_tool, "reload_schemas": self.reload_schemas,
+        }
+
+    def names(self) -> list[str]:
+        return sorted(self.known)
+
+    def call(self, name: str, /, **args):
+        if name not in self.known:
+            raise RequestError(NOT_FOUND, name)
+        return self.known[name](**args)
+
+    def schema(self, entity: str) -> EntitySchema:
+        if entity not in self.schemas:
+            raise RequestError(NOT_FOUND, entity)
+        return self.schemas[entity]
+
+    def tables(self) -> dict[str, tuple[EntitySchema, DataFrame]]:
+        return {e: (s, self.read(e)) for e, s in self.schemas.items()}
+
+    def list_entities(self) -> DataFrame:
+        return self.spark.createDataFrame([(s.namespace, e, s.primary_key, len(s.fields)) for e, s in sorted(self.schemas.items())], "namespace string, entity string, key string, fields int")
+
+    def describe_entity(self, entity: str) -> DataFrame:
+        return describe(self.schema(entity), self.read(entity))
+
+    def query_entity(self, entity: str, **request) -> DataFrame:
+        s = self.schema(entity)
+        return plan_query(s, QueryRequest(s.namespace, entity, **request), self.read(entity)).page
+
+    def get_entity(self, entity: str, key, **request) -> DataFrame:
+        s = self.schema(entity)
+        return lookup(s, QueryRequest(s.namespace, entity, {s.primary_key: key}, **request), self.read(entity))
+
+    def aggregate_entity(self, entity: str, **request) -> DataFrame:
+        s = self.schema(entity)
+        asked = AggregateRequest(s.namespace, entity, **request)
+        dims = {asked.dimension.entity: self.tables()[asked.dimension.entity]} if asked.dimension is not None and asked.dimension.entity in self.schemas else {}
+        made = plan_aggregate(s, asked, self.read(entity), dims)
+        check_input_groups(made)
+        return made.rows
+
+    def related_entities(self, entity: str, key, **scope) -> list[dict]:
+        return bundle(self.tables(), entity, key, **scope)
+
+    def find_tools(self, query: str = "", limit: int | None = None) -> DataFrame:
+        every = catalogue(self.spark, self.made)
+        return search(every, query, limit) if query.strip() else overview(every)
+
+    def call_tool(self, name: str, **args) -> DataFrame:
+        return call(find(self.made, name), args, self.read)
+
+    def reload_schemas(self, schemas: list[EntitySchema], tags: frozenset[str] | None = None) -> int:
+        writable(tags)
+        self.schemas, self.made = {s.entity: s for s in schemas}, generate(schemas)
+        return len(schemas)
+
+
 def latency(timings: DataFrame, by: str, value: str) -> DataFrame:
     """p50, p95 and p99 of timings per entity."""
     p = lambda q: F.percentile(value, F.lit(q))

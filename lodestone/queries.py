@@ -758,6 +758,83 @@ register("m_5_semantic", f"SELECT vec_id AS id, round(list_cosine_similarity(CAS
     lambda spark, sf_dir: memory.search(parquet(spark, sf_dir, "embeddings").select(col("vec_id").alias("id"), F.lit("").alias("content"), col("label").cast("string").alias("owner"), col("embedding").alias("vector")), "x", vector(spark, sf_dir), "SEMANTIC", "2").select("id", F.round("score", 4).alias("score"))
 )
 
+WRITES = """(SELECT conv_id, turn, text, CASE WHEN turn = 0 AND conv_id % 9 = 0 THEN 'clear' ELSE 'append' END AS op, CAST(turn AS BIGINT) AS moment FROM conversations
+UNION ALL SELECT conv_id, turn, 'edited', 'edit', turn + 1000 FROM conversations WHERE turn % 4 = 1
+UNION ALL SELECT conv_id, turn, NULL, 'delete', turn + 2000 FROM conversations WHERE turn % 5 = 2
+UNION ALL SELECT conv_id, 0, NULL, 'clear', 3000 FROM conversations WHERE conv_id % 11 = 3 AND turn = 0)"""
+
+
+@register("m_1_writes", f"""WITH w AS {WRITES}, c AS (SELECT conv_id, max(moment) FILTER (op = 'clear') AS cleared FROM w GROUP BY conv_id), live AS (SELECT w.* FROM w JOIN c USING (conv_id) WHERE op != 'clear' AND (cleared IS NULL OR moment > cleared))
+SELECT conv_id, turn, arg_max(coalesce(text, '-'), moment) AS text FROM live GROUP BY conv_id, turn HAVING bool_or(op = 'append') AND NOT bool_or(op = 'delete')""")
+def memory_writes(spark, sf_dir):
+    c = parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    write = lambda df, op, at, text=None: df.select("conv_id", "turn", (col("text") if text is None else text).alias("text"), op.alias("op"), at.cast("long").alias("at"))
+    none = F.lit(None).cast("string")
+    log = write(c, F.when((col("turn") == 0) & (col("conv_id") % 9 == 0), "clear").otherwise("append"), col("turn"))
+    log = log.unionByName(write(c.where("turn % 4 = 1"), F.lit("edit"), col("turn") + 1000, F.lit("edited"))).unionByName(write(c.where("turn % 5 = 2"), F.lit("delete"), col("turn") + 2000, none))
+    log = log.unionByName(write(c.where("conv_id % 11 = 3 and turn = 0"), F.lit("clear"), F.lit(3000), none))
+    return memory.written(log, "conv_id", "turn", "text", "op", "at").withColumn("text", F.coalesce("text", F.lit("-")))
+
+
+register("m_4_forget", "SELECT doc_id AS id, source AS owner FROM documents WHERE NOT (doc_id % 3 = 0 AND source = 'src5')")(
+    lambda spark, sf_dir: memory.forget(parquet(spark, sf_dir, "documents").select(col("doc_id").alias("id"), col("source").alias("owner")), parquet(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id"), "src5")
+)
+register("m_9_extract", r"""SELECT conv_id, fact FROM (SELECT DISTINCT conv_id, trim(unnest(string_split(string_agg(replace(coalesce(text, ''), chr(10), ' '), '|' ORDER BY turn), '|'))) AS fact FROM conversations GROUP BY conv_id) WHERE fact != ''""")(
+    lambda spark, sf_dir: memory.extract(
+        parquet(spark, sf_dir, "conversations").withColumn("text", F.translate(F.coalesce("text", F.lit("")), "\n", " ")), "conv_id", "turn", "text", lambda t: F.filter(F.transform(F.split(t, r"\n"), F.trim), lambda x: x != "")
+    )
+)
+
+
+@register("c_9_store", """WITH old AS (SELECT event_id AS entry_id, 'p' || event_id AS prompt, event_type AS response, ts + INTERVAL 1 DAY AS expires FROM events WHERE event_id % 2 = 0),
+new AS (SELECT 100000000 + event_id AS entry_id, 'p' || event_id AS prompt, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'new' END AS response, ts + INTERVAL 2 DAY AS expires FROM events WHERE event_id % 3 = 0),
+fits AS (SELECT * FROM new WHERE response != ''), kept AS (SELECT * FROM old WHERE prompt NOT IN (SELECT prompt FROM fits) UNION ALL SELECT * FROM fits)
+SELECT entry_id, prompt, response FROM kept WHERE expires > TIMESTAMP '2024-01-10' ORDER BY expires DESC, entry_id DESC LIMIT 1000""")
+def cache_store(spark, sf_dir):
+    e = parquet(spark, sf_dir, "events")
+    made = lambda df, first, response, days: df.select((F.lit(first) + col("event_id")).alias("entry_id"), F.concat(F.lit("p"), col("event_id").cast("string")).alias("prompt"), response.alias("response"), F.expr(f"ts + INTERVAL {days} DAY").alias("expires"))
+    old = made(e.where("event_id % 2 = 0"), 0, col("event_type"), 1)
+    new = made(e.where("event_id % 3 = 0"), 100_000_000, F.when(col("event_id") % 6 == 0, "").otherwise("new"), 2)
+    return cache.stored(old, new, F.expr("timestamp_ntz'2024-01-10 00:00:00'")).select("entry_id", "prompt", "response")
+
+
+@register("c_10_expansion", "SELECT * FROM (VALUES ('off', 'none', 0, 1), ('on-miss', 'a', 1, 1), ('on-miss', 'none', 2, 4), ('always', 'a', 3, 4), ('fails', 'none', 0, 1)) t(mode, prompt, found, asked)")
+def expansion(spark, sf_dir):
+    answers, out = {"a": [1], "b": [1, 2], "c": [3]}, []
+    for mode, prompt, paraphrase in (("off", "none", None), ("on-miss", "a", None), ("on-miss", "none", ["b", "b", "d", "e", "c"]), ("always", "a", ["b", "c", "a", "d"]), ("fails", "none", 0)):
+        asked = []
+
+        def ask(p, asked=asked):
+            asked.append(p)
+            return answers.get(p, [])
+
+        found = cache.expanded(prompt, ask, lambda p, some=paraphrase: [x for x in (some if some is not None else ["b"])], "always" if mode == "fails" else mode)
+        out.append((mode, prompt, len(found), len(asked)))
+    return spark.createDataFrame(out, "mode string, prompt string, found int, asked int")
+
+
+def toolbox(spark: SparkSession, sf_dir: str) -> tools.Toolbox:
+    return tools.Toolbox([catalog.ALL[n] for n in ("region", "nation", "customer", "orders", "supplier")], lambda n: parquet(spark, sf_dir, n), spark)
+
+
+register("t_4_aggregate", "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY 1")(lambda spark, sf_dir: toolbox(spark, sf_dir).call("aggregate_entity", entity="orders", group_by=("o_orderstatus",)))
+register("t_4_get", "SELECT * FROM nation WHERE n_nationkey = 4")(lambda spark, sf_dir: toolbox(spark, sf_dir).call("get_entity", entity="nation", key=4))
+register("t_4_call_found", "SELECT * FROM orders WHERE o_totalprice BETWEEN 1000 AND 20000 ORDER BY o_orderkey LIMIT 20")(
+    lambda spark, sf_dir: (b := toolbox(spark, sf_dir)).call("call_tool", name=b.call("find_tools", query="find totalprice range", limit=1).first()["name"], min=1000, max=20000)
+)
+register("t_4_overview", "SELECT * FROM (VALUES ('shop', 'customer', 6), ('shop', 'nation', 4), ('shop', 'orders', 7), ('shop', 'region', 3), ('shop', 'supplier', 5)) t(namespace, entity, tools)")(
+    lambda spark, sf_dir: toolbox(spark, sf_dir).call("find_tools").select("namespace", "entity", col("tools").cast("int").alias("tools"))
+)
+
+
+@register("t_6_operators_write", "SELECT * FROM (VALUES ('none', 3001), ('reader', 3001), ('operator', 0), ('all', 0), ('unknown tool', 1001)) t(caller, code)")
+def operators_write(spark, sf_dir):
+    box = toolbox(spark, sf_dir)
+    write = lambda tags: lambda: box.call("reload_schemas", schemas=[catalog.NATION], tags=tags)
+    asked = {"none": write(None), "reader": write(frozenset({"reader"})), "operator": write(frozenset({"operator"})), "all": write(frozenset({"*"})), "unknown tool": lambda: box.call("drop_everything")}
+    return spark.createDataFrame([(k, code_of(f)) for k, f in asked.items()], "caller string, code int")
+
+
 # --- the flagship ----------------------------------------------------------------------------------------------
 
 
