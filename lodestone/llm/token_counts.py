@@ -3,6 +3,10 @@
 Texts are cut at single spaces, where no pre-token can cross. Pieces not seen before are pre-tokenised, and
 all their distinct pre-tokens are merged together: symbols of every sequence lie in one numpy array, and in
 each round every sequence applies its own lowest-rank pair wherever it occurs. What survives is counted.
+
+A round costs a pass over what isn't finished, and a sequence takes as many as it applies ranks, so a pre-token of
+thousands of bytes, such as encoded data without spaces, would cost its length many times over: those leave the array
+and take their pairs from a heap, by rank and then by place, which is the same order.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ MARK = "\ue000"
 #: Distinct pieces whose counts a generation of a Python worker's memory holds.
 REMEMBERED = 600_000
 BIG = np.iinfo(np.int32).max
+#: Bytes of a pre-token from which on its pairs come from a heap.
+LONG_RUN = 2048
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +62,7 @@ class Merger:
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.made = made
+        self.scalar: dict[int, int] | None = None
         self.index(keys)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -98,9 +106,12 @@ class Merger:
     def lengths(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols that each byte sequence ends with."""
         sizes = np.array([len(t) for t in tokens], np.int64)
-        symbols = self.byte_symbol[np.frombuffer(b"".join(tokens), np.uint8)]
-        owner = np.repeat(np.arange(len(tokens)), sizes)
         out = np.zeros(len(tokens), np.int64)
+        for i in np.flatnonzero(sizes >= LONG_RUN).tolist():
+            out[i] = self.long_length(self.byte_symbol[np.frombuffer(tokens[i], np.uint8)])
+        short = np.where(sizes < LONG_RUN, sizes, 0)
+        symbols = self.byte_symbol[np.frombuffer(b"".join([t for t in tokens if len(t) < LONG_RUN]), np.uint8)]
+        owner = np.repeat(np.arange(len(tokens)), short)
         while len(symbols):
             pair = np.full(len(symbols), BIG, np.int32)
             pair[:-1] = np.where(owner[:-1] == owner[1:], self.rank(symbols[:-1], symbols[1:]), BIG)
@@ -126,6 +137,33 @@ class Merger:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
+    def long_length(self, symbols: np.ndarray) -> int:
+        """Symbols that one long sequence ends with."""
+        if self.scalar is None:
+            self.scalar = {k: r for k, r in zip(self.keys.tolist(), self.ranks.tolist()) if k >= 0}
+        ranks, made = self.scalar, self.made
+        rank = self.rank(symbols[:-1], symbols[1:]).astype(np.int64)
+        at = np.flatnonzero(rank != BIG)
+        heap = (rank[at] << 40 | at).tolist()
+        heapify(heap)
+        n = left = len(symbols)
+        symbol, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, i = divmod(heappop(heap), 1 << 40)
+            j = after[i]
+            # a pair whose symbols have changed since is not there any more
+            if symbol[i] < 0 or j >= n or ranks.get(symbol[i] << 32 | symbol[j]) != r:
+                continue
+            symbol[i], symbol[j], left = int(made[r]), -1, left - 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (new := ranks.get(symbol[i] << 32 | symbol[k])) is not None:
+                    heappush(heap, new << 40 | i)
+            if (p := before[i]) >= 0 and (new := ranks.get(symbol[p] << 32 | symbol[i])) is not None:
+                heappush(heap, new << 40 | p)
+        return left
+
     def learn(self, pieces: list[str]) -> None:
         """Counts of pieces not seen before; the special strings of the file are one token each."""
         whole, index = self.pattern.findall, {}
