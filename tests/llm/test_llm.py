@@ -280,6 +280,43 @@ def test_tokens(spark, nothing):
     assert token_counts.count_tokens(nothing, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_tokens_of_runs_without_spaces():
+    """Encoded data and repetitions of many thousand letters, as the library has them, in time that follows their length."""
+    P = pytest.importorskip("public_tokenizers")
+    import time
+
+    from tokenizers import Tokenizer
+
+    pick = random.Random(71)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(pick.choice(letters) for _ in range(n)) for n in (2047, 2048, 5000, 30_000)]
+    texts += ["ab" * 4000, "a" * 9001, "the" * 3000 + " end", "é" * 3000, "".join(pick.choice("ab") for _ in range(20_000))]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counter = token_counts.Merger(P.path("byte_bpe_50k.json"))
+    assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    began = time.perf_counter()
+    counter.count(["".join(pick.choice(letters) for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 30
+
+
+def test_very_long_texts(spark):
+    """Documents of 7 MB beside a short one: near duplicates, repeats, benchmark hits and tokens are found in it."""
+    P = pytest.importorskip("public_tokenizers")
+    base = " ".join(f"w{k % 9973}x{k % 7919}" for k in range(640_000))
+    texts = [(1, base), (2, base + " tail"), (3, PASSAGE), (4, base[:4_000_000] + " " + PASSAGE)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert len(base) > 6_500_000
+    got = by_id(near_dedup.near_duplicates(docs))
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
+    cut = by_id(substring_dedup.remove_repeats(docs).select("id", "n_words", "n_removed"))
+    assert [cut[i]["n_words"] - cut[i]["n_removed"] for i in (1, 2, 3)] == [640_000, 1, 80] and cut[4]["n_words"] - cut[4]["n_removed"] <= 1
+    bench = spark.createDataFrame([("i", PASSAGE)], "item_id string, text string")
+    hit = by_id(decontaminate.judged(decontaminate.scan(docs, bench)).select("id", "n_hit", "contaminated"))
+    assert [(hit[i]["n_hit"] > 0, hit[i]["contaminated"]) for i in (1, 2, 3, 4)] == [(False, False), (False, False), (True, True), (True, False)]
+    counted = by_id(token_counts.count_tokens(docs.where("doc_id in (1, 3)"), P.path("byte_bpe_50k.json")))
+    assert counted[1]["n_bytes"] == len(base) and counted[1]["n_tokens"] > 640_000
+
+
 def test_token_files(spark, nothing, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
