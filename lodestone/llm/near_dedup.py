@@ -43,7 +43,7 @@ PERCENT = 75
 SIGMAS = 5
 ROWS = 1024
 #: Members of a bucket in a tile; a block holds one tile or two. Pairs whose sketches are compared at once.
-TILE, AT_ONCE = 512, 8192
+TILE, AT_ONCE = 512, 2048
 SKETCH = "id bigint, text_hash bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, keys array<bigint>"
 #: Registers that an empty one looks at, in turn.
 TURNS = (wh.mix(np.arange(1, 256 * REGISTERS + 1, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64).reshape(256, REGISTERS)
@@ -205,7 +205,7 @@ def _met(rows: pa.Table, best: bool):
     block, key, id_, label, tile, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("block", "key", "id", "label", "tile", "n"))
     two = np.asarray(rows.column("two").combine_chunks().cast(pa.int8())) > 0
     regs = lanes(np.asarray(rows.column("bands").combine_chunks().flatten()))
-    keys = bucket_keys(regs.astype(np.int64))
+    keys = np.concatenate([bucket_keys(regs[k : k + ROWS].astype(np.int64)) for k in range(0, len(regs), ROWS)])
     earlier = np.arange(BANDS) < np.argmax(keys == key[:, None], axis=1)[:, None]
     size = n.astype(np.float64)
     found: list = [[], [], []]
