@@ -63,6 +63,31 @@ def test_exact(docs, nothing):
     assert by_id(exact_dedup.exact_dedup(docs))[0]["keep_id"] == 0
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_groups_of_any_size_and_odd_ids(spark, keep):
+    rows = [(i, f"text {i % 7}" if i % 3 else "Hot") for i in range(300)]
+    rows += [(None, "hot"), (None, "alone"), (None, "Alone"), (5, "twice"), (5, "twice"), (-3, None), (-4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(fold(t or ""), []).append(i)
+    best = {"smallest": min, "largest": max}[keep]
+    want = []
+    for i, t in rows:
+        ids = groups[fold(t or "")]
+        survivor = best((x for x in ids if x is not None), default=None)
+        want.append((i, survivor, len(ids), i == survivor, hashlib.sha256(fold(t or "").encode()).hexdigest()))
+    for large in (0, 20, 1000):  # all groups are looked up by broadcast, the larger ones, none
+        got = exact_dedup.exact_dedup(frame, keep=keep, large=large)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_exact_merges_sorted_runs(spark, docs):
+    merged = exact_dedup.merge_runs(exact_dedup.digests(docs), runs=16)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Sort [run") == 4 and plan.count("REPARTITION_BY_COL") == 2
+
+
 def test_near(spark, docs, nothing):
     def shingles(t):
         w = split(fold(t))
