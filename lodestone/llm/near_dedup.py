@@ -325,25 +325,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = scratch.save(band.join(shared, "key"), "members")
     scratch.drop("bands")
-    scratch.release()
     active = scratch.save(member.groupBy("id").agg(F.sum("members").alias("degree")), "active")
     sketch = scratch.save(linked.select("id", "n", "bands").join(active, "id", "left_semi").dropDuplicates(["id"]), "active-sketches")
     sets = source.join(active, "id", "left_semi").dropDuplicates(["id"])
     sets = scratch.save(sets.mapInArrow(_sets, "id bigint, shingles array<bigint>"), "sets")
-    scratch.release()
 
     heads = member.join(active, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("head"))
     met = member.join(heads, "key").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     pairs = scratch.save(most_similar(likely(met, sketch)), "pairs-star")
     links = scratch.save(verified(sets, pairs), "links-star")
     found = components(links, scratch, "star")
-    scratch.release()
     for step, best in (("best", True), ("all", False)):
         pairs = scratch.save(across(member, found, sketch, best), f"pairs-{step}")
         links = scratch.save(verified(sets, pairs), f"links-{step}")
         if not links.isEmpty():
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), scratch, step)
-        scratch.release()
     scratch.drop("members", "active-sketches", "sets")
 
     key = ["n", "d1", "d2"]

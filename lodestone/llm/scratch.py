@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Has Spark remove an execution's shuffle files when it ends; a stage that is needed again is run again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions that start inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """A folder for one run of an operator. ``save`` writes a table and reads it back, so that a lost
-    executor costs at most the stage at hand; ``drop`` removes tables that no later step reads. What is left, which
+    executor costs at most the stage at hand, and removes the shuffle files of what it wrote; ``drop`` removes tables that
+    no later step reads. What is left, which
     results may still read, is removed when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
@@ -34,7 +55,8 @@ class Scratch:
         return f"{self.path}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.at(name))
+        with tidy(self.spark):
+            df.write.mode("overwrite").parquet(self.at(name))
         self.fade()
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
@@ -51,10 +73,3 @@ class Scratch:
         for name in names:
             fs, path = self._fs(self.at(name))
             fs.delete(path, True)
-
-    def release(self) -> None:
-        """Lets Spark's cleaner remove shuffle files of finished steps whose frames are gone."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

@@ -336,10 +336,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(LEAST_PARTS, -(-total // BUFFER_BYTES))
     valid = source.where("id is not null")
     anchors = scratch.save(settle(valid, _anchors, parts, (4,), _probe), "anchors")
-    scratch.release()
     near = valid.join(anchors, "id").select("id", "text", "found")
     repeats = scratch.save(settle(near, _windows, parts, (8, 4), _extend), "repeats")
     scratch.drop("anchors")
-    scratch.release()
     result = "id bigint, n_words bigint, n_removed bigint, removed array<struct<a:bigint,b:bigint>>, kept_sha256 string, kept_text string"
     return source.join(repeats, "id", "left").select("id", "text", "found").mapInArrow(_cut, result)

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.pieces import batches as batches_of
 from lodestone.llm.pieces import ragged, split
 from lodestone.llm.recall import Recall
-from lodestone.llm.scratch import Scratch
+from lodestone.llm.scratch import Scratch, tidy
 from lodestone.llm.worker import lean
 
 #: Distinct pieces whose ids a generation of a Python worker's memory holds.
@@ -126,7 +126,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     # rows of one id differ in their number only
     numbered = source.withColumn("number", F.monotonically_increasing_id())
     ordered = numbered.repartitionByRange(parts, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "text")
-    (
+    writer = (
         ordered.mapInArrow(lambda batches: _encode(batches, tokenizer, end_id), FILE)
         .write.mode("overwrite")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -134,8 +134,9 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         .option("orc.row.index.stride", str(stride))
         .option("orc.stripe.size", str(16 << 20))
         .option("orc.compress", "SNAPPY")
-        .orc(path)
     )
+    with tidy(docs.sparkSession):
+        writer.orc(path)
 
 
 def read_orc(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, sharding, substring_dedup, token_counts, token_files, toxicity
+from lodestone.llm.scratch import CLEANUP, Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, id string"
 PICK = random.Random(5)
@@ -88,6 +90,21 @@ def test_exact_merges_sorted_runs(spark, docs):
     assert "HashAggregate" not in plan and plan.count("Sort [run") == 4 and plan.count("REPARTITION_BY_COL") == 2
 
 
+def test_saving_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+        return sum(".data" in str(blocks.apply(i).getName()) for i in range(blocks.size()))
+
+    scratch, before = Scratch(spark, "tidy"), files()
+    wide = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    saved = scratch.save(wide.join(wide.withColumnRenamed("n", "m"), "k"), "wide")
+    until = time.monotonic() + 20
+    while files() > before and time.monotonic() < until:  # files go in the background
+        time.sleep(0.1)
+    assert files() <= before and saved.count() == 7
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_near(spark, docs, nothing):
     def shingles(t):
         w = split(fold(t))
