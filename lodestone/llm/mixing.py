@@ -63,34 +63,48 @@ def tempered(table: DataFrame, dimension: str, temper: float) -> DataFrame:
 
 def marginal_error(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
     """The largest error of a class's share, relative to its target; 1 for a target class without weight. Targets of a
-    dimension count as shares of their sum. One row is collected."""
-    whole = None
-    for dimension in DIMENSIONS:
-        now = fitted.groupBy(dimension).agg(F.sum("fitted").alias("now"))
-        met = now.join(targets[dimension], dimension, "full").select(F.coalesce("now", F.lit(0.0)).alias("now"), F.coalesce("target", F.lit(0.0)).cast("double").alias("target"))
-        met = met.crossJoin(F.broadcast(met.agg(F.sum("now").alias("all"), F.sum("target").alias("goal"))))
-        want = F.when(F.col("goal") > 0, F.col("target") / F.col("goal")).otherwise(0.0)
-        got = F.when(F.col("all") > 0, F.col("now") / F.col("all")).otherwise(0.0)
-        # a class without a target has no weight
-        off = met.agg(F.max(F.when(want > 0, F.abs(got - want) / want).otherwise(got)).alias("off"))
-        whole = off if whole is None else whole.unionByName(off)
-    return whole.agg(F.max("off")).first()[0] or 0.0
+    dimension count as shares of their sum. All dimensions are summed in one pass; a row for each is collected."""
+    classes = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS)))
+    parts = fitted.select(classes.alias("of"), "fitted").select("of.dimension", "of.value", F.col("fitted").alias("now"), F.lit(0.0).alias("target"))
+    for d in DIMENSIONS:
+        parts = parts.union(targets[d].select(F.lit(d), F.col(d).cast("string"), F.lit(0.0), F.coalesce(F.col("target").cast("double"), F.lit(0.0))))
+    met = parts.groupBy("dimension", "value").agg(F.sum("now").alias("now"), F.sum("target").alias("target"))
+    gain = F.when(F.col("target") > 0, F.col("now") / F.col("target"))
+    whole = met.groupBy("dimension").agg(
+        F.sum("now").alias("all"), F.sum("target").alias("goal"), F.max(gain).alias("most"), F.min(gain).alias("least"),
+        F.max(F.when(F.col("target") > 0, 0.0).otherwise(F.col("now"))).alias("stray"),  # a class without a target has no weight
+    )
+    error = 0.0
+    for r in whole.collect():
+        scale = r["goal"] / r["all"] if r["all"] > 0 else 0.0
+        if r["most"] is not None:
+            error = max(error, r["most"] * scale - 1, 1 - r["least"] * scale)
+        if r["all"] > 0:
+            error = max(error, r["stray"] / r["all"])
+    return error
 
 
 def rake(table: DataFrame, targets: dict[str, DataFrame], cycles: int, scratch: Scratch) -> tuple[DataFrame, float]:
     """``table`` of cells (source, lang, topic, w) with column fitted, as shares of 1, and the error that is left. In
     each cycle each dimension is met once; a value that has no target gets none, and no cell of weight 0 gains any.
-    At least ``cycles`` are taken, and more until the error is below TOLERANCE or falls no more."""
-    fitted = scratch.save(table.withColumn("fitted", F.col("w").cast("double")), "fit-0")
+    At least ``cycles`` are taken, and more until the error is below TOLERANCE or falls no more. The cells carry their
+    targets and are written after each dimension: a step reads them twice, and steps upon steps would double the plan,
+    which the driver holds and plans again for each of its stages."""
+    fitted = table.withColumn("fitted", F.col("w").cast("double"))
+    for d in DIMENSIONS:
+        fitted = fitted.join(targets[d].select(d, F.col("target").cast("double").alias(f"{d}_target")), d, "left")
+    step = 0
+    fitted = scratch.save(fitted, f"fit-{step}")
     cycle, errors = 0, []
     while cycle < cycles or (errors and errors[-1] > TOLERANCE and not (len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL])):
         cycle += 1
-        for dimension in DIMENSIONS:
-            now = fitted.groupBy(dimension).agg(F.sum("fitted").alias("now"))
-            factor = now.join(targets[dimension], dimension).select(dimension, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))
-            fitted = fitted.join(factor, dimension, "left").select(*DIMENSIONS, "w", (F.col("fitted") * F.coalesce("factor", F.lit(0.0))).alias("fitted"))
-        fitted = scratch.save(fitted, f"fit-{cycle}")
-        scratch.drop(f"fit-{cycle - 1}")
+        for d in DIMENSIONS:
+            now = fitted.groupBy(d).agg(F.sum("fitted").alias("now"), F.max(f"{d}_target").alias("target"))
+            factor = now.select(d, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))
+            met = fitted.join(factor, d, "left").withColumn("fitted", F.col("fitted") * F.coalesce("factor", F.lit(0.0)))
+            step += 1
+            fitted = scratch.save(met.select(*fitted.columns), f"fit-{step}")
+            scratch.drop(f"fit-{step - 1}")
         if cycle >= cycles:
             errors.append(marginal_error(fitted, targets))
     return fitted, errors[-1] if errors else marginal_error(fitted, targets)

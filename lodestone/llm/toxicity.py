@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.recall import Recall
-from lodestone.llm.worker import lean
+from lodestone.llm.worker import give_back, lean
 
 #: Words of a window in training, and when texts are scored.
 CONTEXT, SCORED = 5, 10
@@ -219,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts[y] = [t for _, t in sorted((r["id"], r["text"]) for r in got)]
     if not texts[0] or not texts[1]:
         return None
-    return fit(texts[1], texts[0], size[1] / (size[0] + size[1]))
+    model = fit(texts[1], texts[0], size[1] / (size[0] + size[1]))
+    texts.clear()
+    give_back()  # later stages share the driver
+    return model
 
 
 @lean

@@ -477,6 +477,30 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_plans_stay_small(docs, monkeypatch):
+    """A step's plan doesn't hold the steps before it twice over: the driver plans it anew for each of its stages."""
+    joins, save = {}, mixing.Scratch.save
+
+    def counted(self, df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return save(self, df, name)
+
+    monkeypatch.setattr(mixing.Scratch, "save", counted)
+    mixing.mix(docs)
+    assert sum(name.startswith("fit-") for name in joins) >= mixing.CYCLES
+    assert max(joins.values()) <= 3, joins
+
+
+def test_mixing_error(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 6.0), ("b", "x", "t", 3.0), ("c", "x", "t", 1.0)], "source string, lang string, topic string, fitted double")
+    frames = lambda source: {d: spark.createDataFrame(rows, f"{d} string, target double") for d, rows in (("source", source), ("lang", [("x", 2.0)]), ("topic", [("t", 5.0)]))}
+    off = lambda *source: mixing.marginal_error(cells, frames(list(source)))
+    assert off(("a", 12.0), ("b", 6.0), ("c", 2.0)) == pytest.approx(0, abs=1e-12)
+    assert off(("a", 0.4), ("b", 0.5), ("c", 0.1)) == pytest.approx(0.5)  # a has 0.6 of 0.4
+    assert off(("a", 0.6), ("b", 0.3), ("c", 0.05), ("d", 0.05)) == pytest.approx(1)  # c has twice its share, d nothing
+    assert off(("a", 0.65), ("b", 0.35), ("c", None)) == pytest.approx(1 - 0.3 / 0.35)  # c's 0.1 is less
+
+
 def test_mixing_meets_sparse_targets_or_tells(spark, recwarn):
     cells = [("a", "x", 900), ("a", "y", 200), ("b", "y", 500), ("b", "z", 200), ("c", "z", 700), ("c", "x", 600)]
     docs = spark.createDataFrame([(i, "w" * 4 * n, s, c) for i, (s, c, n) in enumerate(cells)], "doc_id bigint, text string, source string, lang string")
